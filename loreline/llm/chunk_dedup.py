@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import hot_lookup, text_of
+from loreline.llm.common import hot_lookup, text_of, written
 
 #: Characters of a chunk, least and most. A chunk ends at the first sentence or line end after the least.
 MIN_CHARS, MAX_CHARS = 256, 2048
@@ -32,6 +32,9 @@ def chunk_recipes(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.sha2(text_of().cast("binary"), 256).alias("text_sha256"), chunks_of(text_of()).alias("chunks"))
     base = texts.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.hex(F.xxhash64(c))).alias("recipe"))
     clash = clashing_keys(docs.select(F.explode(chunks_of(text_of())).alias("chunk")).select(F.xxhash64("chunk").alias("key"), "chunk"))
+    clash = written(clash, "clash")
+    if clash.isEmpty():
+        return base
     held = base.select("text_sha256", F.explode("recipe").alias("key")).join(clash.select(F.hex("key").alias("key")), "key", "left_semi")
     strong = (
         texts.join(held.select("text_sha256").distinct(), "text_sha256", "left_semi")
