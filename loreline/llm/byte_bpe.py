@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loreline.llm.common import joined_bytes, map_batches, mix, run_hashes
-from loreline.llm.tokenizer_files import Memo, load_ranks, split_pattern, splitter
+from loreline.llm.tokenizer_files import Memo, load_ranks, split_pattern, splitter, text_blocks
 
 #: Pre-tokens that a worker remembers the ids of.
 MEMO = 400_000
@@ -159,25 +159,13 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def blocks(texts: list[str], chars: int = 2_000_000):
-    """Runs of texts of about so many characters; a longer text stands alone."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
-
-
 def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of each document (doc_id, text; other columns are ignored); null texts give no ids."""
     pattern = pattern or split_pattern()
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "ids": [x for b in blocks(texts) for x in encoder(path, pattern).encode(b)]}
+        return {"doc_id": batch.column(0), "ids": [x for b in text_blocks(texts) for x in encoder(path, pattern).encode(b)]}
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
@@ -203,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
 
     def run(batch: pa.RecordBatch) -> dict:
         e, n, digests, decoded = encoder(path, pattern), [], [], []
-        for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
+        for block in text_blocks([t or "" for t in batch.column(1).to_pylist()]):
             for ids in e.encode(block):
                 n.append(len(ids))
                 digests.append(hashlib.sha256(" ".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest())

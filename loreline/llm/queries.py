@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import byte_bpe, chunk_dedup, host_reputation, token_count
-from loreline.llm.common import table
+from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, token_count, token_files
+from loreline.llm.common import scratch_path, table
 from loreline.llm.tokenizer_files import public_path
 
 
@@ -38,11 +38,23 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"))
+    return token_files.checksums(token_files.read_token_files(spark, path))
+
+
+def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_chunk_dedup": op1_chunk_dedup,
     "op3_host_reputation": op3_host_reputation,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_token_files": op8_token_files,
     "op9_token_count": op9_token_count,
+    "op10_curve_packing": op10_curve_packing,
 }
 
 ORACLE_SQL = {

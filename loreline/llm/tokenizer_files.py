@@ -7,6 +7,7 @@ import json
 import os
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,3 +80,69 @@ class Memo(dict):
     def room(self, n: int) -> None:
         if len(self) + n > self.most:
             self.clear()
+
+
+#: Characters after which a word file's texts may be cut: it drops white space before it looks for words.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_space(path: str) -> bool:
+    """Whether a tokenizers file splits words with _WORD_SPLIT, so that no token reaches over a space."""
+    pre = description(path).get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [{}])[0]
+    return first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORD_SPLIT} and bool(first.get("invert"))
+
+
+class IdEncoder:
+    """Token ids of texts as the tokenizers library gives them without begin or end tokens, as little-endian uint32 bytes.
+
+    Texts are cut at spaces where the file's rules let no token reach over the cut; each distinct part is encoded by the
+    library once while it is remembered. Texts in which white space stands before a space, and files with other rules,
+    go to the library whole.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
+        self.tok = load_tokenizer(path)
+        self.kind = "byte" if is_byte_level(path) else "word" if drops_space(path) else "whole"
+        self.memo = Memo(most)
+        self.runs = splitter(r"\s ")
+
+    def _bytes(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.kind == "whole":
+            return self._bytes(texts)
+        if self.kind == "word":
+            parts = [t.replace("\n", " ").split(" ") for t in texts]
+        else:
+            parts = [None if self.runs.search(t) else [h, *[f" {x}" for x in rest]] for t in texts for h, *rest in [t.split(" ")]]
+        need = set().union(*[p for p in parts if p is not None])
+        self.memo.room(len(need))
+        new = [p for p in need if p not in self.memo]
+        self.memo.update(zip(new, self._bytes(new), strict=True))
+        get = self.memo.__getitem__
+        odd = iter(self._bytes([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        return [next(odd) if p is None else b"".join(map(get, p)) for p in parts]
+
+
+@lru_cache(maxsize=2)
+def id_encoder(path: str) -> IdEncoder:
+    return IdEncoder(path)
+
+
+def text_blocks(texts: list[str], chars: int = 2_000_000):
+    """Runs of texts of about so many characters; a longer text ends its run."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def encode_texts(texts: list[str], path: str, end_id: int | None = None) -> list[bytes]:
+    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    return [x + end for block in text_blocks(texts) for x in id_encoder(path).encode(block)]
