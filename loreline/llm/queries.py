@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, rare_feature_digest, token_count, token_files
+from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, importance_resampling, rare_feature_digest, token_count, token_files
 from loreline.llm.common import scratch_path, table
 from loreline.llm.tokenizer_files import public_path
 
@@ -14,6 +14,15 @@ def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target documents are those labelled of quality and not toxic."""
+    return table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), target_labels(spark, sf_dir))
+
+
 URL_RULES = [
     host_reputation.Rule("allow", "com/"),
     host_reputation.Rule("block", "example.com/en/"),
@@ -54,6 +63,7 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chunk_dedup": op1_chunk_dedup,
+    "op2_importance_resampling": op2_importance_resampling,
     "op3_host_reputation": op3_host_reputation,
     "op4_rare_feature_digest": op4_rare_feature_digest,
     "op6_byte_bpe": op6_byte_bpe,
