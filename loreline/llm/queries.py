@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, importance_resampling, rare_feature_digest, token_count, token_files
+from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, importance_resampling, minhash_forest, rare_feature_digest, token_count, token_files
 from loreline.llm.common import scratch_path, table
 from loreline.llm.tokenizer_files import public_path
 
@@ -43,6 +43,10 @@ def op4_rare_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare_feature_digest.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.tiktoken"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_importance_resampling": op2_importance_resampling,
     "op3_host_reputation": op3_host_reputation,
     "op4_rare_feature_digest": op4_rare_feature_digest,
+    "op5_minhash_forest": op5_minhash_forest,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_files": op8_token_files,
     "op9_token_count": op9_token_count,
