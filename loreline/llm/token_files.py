@@ -38,11 +38,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                coded = encode_texts([t or "" for t in part.column(1).to_pylist()], tokenizer, end_id)
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                flat, ends = encode_texts(part.column(1), tokenizer, end_id)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), ids], schema=arrow)
                 before += int(ends[-1])
 

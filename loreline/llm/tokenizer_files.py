@@ -6,8 +6,11 @@ import base64
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -93,37 +96,96 @@ def drops_space(path: str) -> bool:
     return first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORD_SPLIT} and bool(first.get("invert"))
 
 
+@lru_cache(maxsize=2)
+def rank_encoding(path: str):
+    """A byte-level tokenizers file as a rank encoding, or None where its ids aren't the ranks of its merges.
+
+    Both libraries then join the same pairs in the same order; the rank form skips the bookkeeping of offsets.
+    """
+    import tiktoken
+
+    d = description(path)
+    model, vocab = d["model"], d["model"]["vocab"]
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    odd = [b for b in range(256) if b not in set(plain)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if len(vocab) != 256 + len(pairs) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or model.get("ignore_merges"):
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in d["added_tokens"]})
+
+
+#: Marks that may trail a word; a run of them is one pre-token of its own. No apostrophe: that can open a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class IdEncoder:
-    """Token ids of texts as the tokenizers library gives them without begin or end tokens, as little-endian uint32 bytes.
+    """Token ids of texts as the tokenizers library gives them, without begin or end tokens.
 
-    Texts are cut at spaces where the file's rules let no token reach over the cut; each distinct part is encoded by the
-    library once while it is remembered. Texts in which white space stands before a space, and files with other rules,
-    go to the library whole.
+    Files that are byte-level go through their rank encoding. Files that drop white space are cut at it by vector operations;
+    of the distinct words, Latin letters with trailing marks skip the steps that leave them as they are and go to the
+    library's model, remembered while there is room, and the others to the library. Files of other kinds go to the
+    library whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.tok = load_tokenizer(path)
-        self.kind = "byte" if is_byte_level(path) else "word" if drops_space(path) else "whole"
+        self.ranks = rank_encoding(path) if is_byte_level(path) else None
+        self.by_word = self.ranks is None and drops_space(path)
         self.memo = Memo(most)
-        self.runs = splitter(r"\s ")
-
-    def _bytes(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "whole":
-            return self._bytes(texts)
-        if self.kind == "word":
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        odd = [b for b in range(256) if b not in set(plain)]
+        self.shown = [chr(b) if b in set(plain) else chr(256 + odd.index(b)) for b in range(256)]
+
+    def _letters(self, word: str) -> list[int]:
+        low = word.lower()
+        ids = self.memo.get(low)
+        if ids is None:
+            shown = low if low.isascii() else "".join(map(self.shown.__getitem__, low.encode()))
+            self.memo.room(1)
+            ids = self.memo[low] = [t.id for t in self.tok.model.tokenize(shown)]
+        return ids
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        odd = []
+        for i, w in enumerate(words):
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and max(core) < "\u0250" and "İ" not in core:
+                if len(core) < len(w):
+                    mark = w[len(core) :]
+                    ids = self.memo.get(mark)
+                    if ids is None:
+                        ids = self.memo[mark] = self.tok.encode(mark, add_special_tokens=False).ids
+                    out[i] = self._letters(core) + ids
+                else:
+                    out[i] = self._letters(core)
+            else:
+                odd.append(i)
+        for i, e in zip(odd, self.tok.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin and end."""
+        if self.by_word:
+            words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            coded = words.values.dictionary_encode()
+            ids = self._words(coded.dictionary.to_pylist())
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            pool = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+            first = np.cumsum(sizes) - sizes
+            of = coded.indices.to_numpy()
+            n = sizes[of]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = pool[np.repeat(first[of] - ends[:-1], n) + np.arange(ends[-1])]
+            return flat, ends[words.offsets.to_numpy()]
+        if self.ranks is not None:
+            found = [self.ranks.encode_to_numpy(t, allowed_special="all") for t in texts.to_pylist()]
         else:
-            parts = [None if self.runs.search(t) else [h, *[f" {x}" for x in rest]] for t in texts for h, *rest in [t.split(" ")]]
-        need = set().union(*[p for p in parts if p is not None])
-        self.memo.room(len(need))
-        new = [p for p in need if p not in self.memo]
-        self.memo.update(zip(new, self._bytes(new), strict=True))
-        get = self.memo.__getitem__
-        odd = iter(self._bytes([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join(map(get, p)) for p in parts]
+            found = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
 
 
 @lru_cache(maxsize=2)
@@ -143,6 +205,9 @@ def text_blocks(texts: list[str], chars: int = 2_000_000):
         yield texts[at:]
 
 
-def encode_texts(texts: list[str], path: str, end_id: int | None = None) -> list[bytes]:
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-    return [x + end for block in text_blocks(texts) for x in id_encoder(path).encode(block)]
+def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (null: empty), each followed by end_id, as uint32, and where each text's begin and end."""
+    ids, ends = id_encoder(path).encode(texts.fill_null("") if texts.null_count else texts)
+    if end_id is None:
+        return ids, ends
+    return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
