@@ -198,4 +198,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
                 decoded.append(hashlib.sha256(e.decode(ids)).hexdigest())
         return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": digests, "decoded_sha256": decoded}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=4000)

@@ -105,9 +105,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -
     width = "<u2" if load_tokenizer(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(1)
-        coded = encode_texts([t or "" for t in texts.to_pylist()], tokenizer, end_id)
-        return {"key": curve_keys(texts), "doc_id": batch.column(0), "ids": [np.frombuffer(x, dtype="<u4").astype(width).tobytes() for x in coded]}
+        ids, ends = encode_texts(batch.column(1), tokenizer, end_id)
+        ids = ids.astype(width)
+        return {"key": curve_keys(batch.column(1)), "doc_id": batch.column(0), "ids": [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]}
 
     coded = written(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), encode, "key long, doc_id long, ids binary"), "coded")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -90,4 +90,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         n = count_texts(texts, path)
         return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", rows=4000)
