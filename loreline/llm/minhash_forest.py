@@ -201,7 +201,7 @@ def _scatter(cells: np.ndarray, na: int, nb: int) -> np.ndarray:
 def linked(a: tuple, b: tuple, threshold: float) -> np.ndarray:
     """Whether each pair's Jaccard likeness reaches the threshold."""
     sa, sb = np.bincount(a[1], minlength=a[2])[:, None], np.bincount(b[1], minlength=b[2])[None, :]
-    both = overlaps(a, b)
+    both = overlaps(a, b).astype(np.float64)
     return (both > 0) & (both * (1 + threshold) >= threshold * (sa + sb) - 1e-6)
 
 
@@ -274,7 +274,7 @@ def compare_groups(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInArrow(run, "id long, root long, n_links long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999) -> DataFrame:
     """Classes of documents (doc_id, text; other columns are ignored) connected by links of Jaccard likeness >= threshold
     between their sets of word runs.
 
