@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, importance_resampling, minhash_forest, rare_feature_digest, token_count, token_files
+from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, importance_resampling, minhash_forest, rare_feature_digest, suffix_dedup, token_count, token_files
 from loreline.llm.common import scratch_path, table
 from loreline.llm.tokenizer_files import public_path
 
@@ -55,6 +55,10 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"))
@@ -72,6 +76,7 @@ QUERIES = {
     "op4_rare_feature_digest": op4_rare_feature_digest,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
     "op9_token_count": op9_token_count,
     "op10_curve_packing": op10_curve_packing,
