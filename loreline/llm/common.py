@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def pieces_of(batch: pa.RecordBatch, column: int, size: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and about so many bytes of a string column; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        stop = min(max(int(np.searchsorted(ends, done + size, side="right")), at + 1), at + rows)
+        yield batch.slice(at, stop - at)
+        at, done = stop, int(ends[min(stop, len(ends)) - 1])
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 500) -> DataFrame:
     """Runs fn on Arrow batches of few rows, so that what it makes of them stays small; it returns the columns of schema."""
     from pyspark.sql.types import _parse_datatype_string

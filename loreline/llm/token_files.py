@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm.common import map_batches
+from loreline.llm.common import map_batches, pieces_of
 from loreline.llm.tokenizer_files import encode_texts
 
 SCHEMA = "doc_id long, file_start long, n_tokens long, ids array<int>"
@@ -38,8 +38,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces_of(batch, 1, 8 << 20):
                 flat, ends = encode_texts(part.column(1), tokenizer, end_id)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), ids], schema=arrow)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import base64
 import json
 import os
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,52 +129,51 @@ class IdEncoder:
     library whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.tok = load_tokenizer(path)
         self.ranks = rank_encoding(path) if is_byte_level(path) else None
         self.by_word = self.ranks is None and drops_space(path)
-        self.memo = Memo(most)
+        self.words, self.letters = Memo(most), Memo(most)
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         odd = [b for b in range(256) if b not in set(plain)]
         self.shown = [chr(b) if b in set(plain) else chr(256 + odd.index(b)) for b in range(256)]
 
-    def _letters(self, word: str) -> list[int]:
-        low = word.lower()
-        ids = self.memo.get(low)
-        if ids is None:
-            shown = low if low.isascii() else "".join(map(self.shown.__getitem__, low.encode()))
-            self.memo.room(1)
-            ids = self.memo[low] = [t.id for t in self.tok.model.tokenize(shown)]
-        return ids
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        odd = []
-        for i, w in enumerate(words):
+    def _learn(self, words: list[str]) -> None:
+        odd, tokenize = [], self.tok.model.tokenize
+        self.letters.room(len(words))
+        for w in words:
             core = w.rstrip(_MARKS)
-            if core.isalpha() and max(core) < "\u0250" and "İ" not in core:
-                if len(core) < len(w):
-                    mark = w[len(core) :]
-                    ids = self.memo.get(mark)
-                    if ids is None:
-                        ids = self.memo[mark] = self.tok.encode(mark, add_special_tokens=False).ids
-                    out[i] = self._letters(core) + ids
-                else:
-                    out[i] = self._letters(core)
-            else:
-                odd.append(i)
-        for i, e in zip(odd, self.tok.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+            if not core.isalpha() or max(core) >= "\u0250" or "İ" in core:
+                odd.append(w)
+                continue
+            low = core.lower()
+            ids = self.letters.get(low)
+            if ids is None:
+                shown = low if low.isascii() else "".join(map(self.shown.__getitem__, low.encode()))
+                ids = self.letters[low] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            if len(core) < len(w):
+                mark = w[len(core) :]
+                own = self.letters.get(mark)
+                if own is None:
+                    own = self.letters[mark] = array("I", self.tok.encode(mark, add_special_tokens=False).ids).tobytes()
+                ids += own
+            self.words[w] = ids
+        for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.words[w] = array("I", e.ids).tobytes()
+
+    def _bytes_of(self, words: list[str]) -> list[bytes]:
+        self.words.room(len(words))
+        self._learn([w for w in words if w not in self.words])
+        return list(map(self.words.__getitem__, words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end."""
         if self.by_word:
             words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
             coded = words.values.dictionary_encode()
-            ids = self._words(coded.dictionary.to_pylist())
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            pool = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+            ids = self._bytes_of(coded.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            pool = np.frombuffer(b"".join(ids), dtype=np.uint32)
             first = np.cumsum(sizes) - sizes
             of = coded.indices.to_numpy()
             n = sizes[of]
