@@ -55,21 +55,88 @@ def stretches(data: np.ndarray, at: np.ndarray, match: int = MATCH) -> tuple[np.
     return first, sizes, h[least[first]].view(np.int64), whole.view(np.int64)
 
 
+#: Stretches a task holds before it sends them on.
+HELD = 4_000_000
+
+
+def _firsts(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """rows (gram, content, key, place) in order, and which of them are the first of their gram and content."""
+    gram, content, key, place = rows
+    order = np.lexsort((place, key, content, gram))
+    gram, content, key, place = (x[order] for x in rows)
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
+    return [gram, content, key, place], first
+
+
 def seeds(docs: DataFrame, match: int) -> DataFrame:
-    """gram, content, key, place of every stretch of docs (key, text); place: first byte * 256 + number of places."""
+    """gram, content, key, place, copy and route of every stretch of docs (key, text); place: first byte * 256 + places.
 
-    names = ["gram", "content", "key", "place"]
+    Of stretches that a task sees twice only the earliest can be the earliest of all; the others are copies already.
+    route is the gram, or for copies a hash that spreads them, so that however popular a stretch is, a task sends one of it.
+    """
+    names = ["gram", "content", "key", "place", "copy", "route"]
+
+    def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        rows, first = _firsts([np.concatenate(c) for c in zip(*held, strict=True)])
+        route = np.where(first, rows[0], mix((rows[2] * 31 + rows[3]).view(np.uint64)).view(np.int64))
+        held.clear()
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in rows], pa.array(~first), pa.array(route)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for part in pieces_of(batch, 1, 1 << 20):
                 data, at = joined_bytes(part.column(1))
                 first, sizes, gram, content = stretches(data, at, match)
                 own = np.searchsorted(at, first, side="right") - 1
-                key = part.column(0).to_numpy()[own]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gram, content, key, (first - at[own]) * 256 + sizes)], names=names)
+                held.append([gram, content, part.column(0).to_numpy()[own], (first - at[own]) * 256 + sizes])
+                if sum(len(h[0]) for h in held) > HELD:
+                    yield send(held)
+        if held:
+            yield send(held)
+
+    return docs.select("key", "text").mapInArrow(run, "gram long, content long, key long, place long, copy boolean, route long")
+
+
+def _judge(found: DataFrame, parts: int) -> DataFrame:
+    """gram, key, place and copy of the stretches that may hold repeats: copies, and the earliest of each content of a
+    gram that has several. Rows come sorted, and a gram is judged when its last row has passed."""
+    names = ["gram", "key", "place", "copy"]
+
+    def judge(rows: list[np.ndarray]) -> pa.RecordBatch:
+        gram, content, key, place = rows
+        fresh = np.ones(len(gram), dtype=bool)
+        fresh[1:] = gram[1:] != gram[:-1]
+        first = fresh.copy()
+        first[1:] |= content[1:] != content[:-1]
+        group = np.cumsum(fresh) - 1
+        several = np.bincount(group[first], minlength=1)[group] > 1
+        keep = ~first | several
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, key, place, ~first)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            copy = batch.column(4).to_numpy(zero_copy_only=False)
+            if copy.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(rows[i][copy]) for i in (0, 2, 3)], pa.array(copy[copy])], names=names)
+                rows = [x[~copy] for x in rows]
+            if not len(rows[0]):
+                continue
+            if held and held[-1][0][-1] == rows[0][-1]:
+                held.append(rows)
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held.append([x[:cut] for x in rows])
+            yield judge([np.concatenate(c) for c in zip(*held, strict=True)])
+            held = [[x[cut:] for x in rows]]
+        if held:
+            yield judge([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return docs.select("key", "text").mapInArrow(run, "gram long, content long, key long, place long")
+    dealt = found.repartition(parts, "route").sortWithinPartitions("copy", "gram", "content", "key", "place")
+    return dealt.select("gram", "content", "key", "place", "copy").mapInArrow(run, "gram long, key long, place long, copy boolean")
 
 
 def repeats_in_shard(segments: list[tuple[int, int, int, bytes]], match: int, limit: int = 1 << 28, base: int = 1 << 22) -> list[tuple[int, int]]:
@@ -208,17 +275,12 @@ def find_repeats(texts: DataFrame, by_key: DataFrame, match: int) -> DataFrame:
     """key and place of every run of places whose match also starts earlier, of texts (key, text).
 
     Stretches whose gram occurs once cannot repeat. Among the others, all copies of a stretch but the earliest repeat it
-    whole; the earliest ones of a gram that has several are sorted in shards. Only these carry bytes between tasks; the
-    counts of a popular gram or stretch are summed before they move.
+    whole; the earliest ones of a gram that has several are sorted in shards. Only these carry bytes between tasks.
     """
-    found = seeds(texts, match)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    live = found.join(grams.select("gram", (F.col("low") != F.col("high")).alias("several")), "gram")
-    firsts = live.groupBy("gram", "content", "several").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n"))
-    copied = firsts.where("n > 1").select("gram", "content", "first")
-    copies = live.join(copied, ["gram", "content"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place"))).select("key", "place")
-    wanted = firsts.where("several").select("first.key", F.struct("gram", "first.place").alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
-    return copies.unionByName(_shards(_segments(by_key, wanted, match), match))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(_judge(seeds(texts, match), parts), "stretches")
+    wanted = found.where("not copy").groupBy("key").agg(F.collect_list(F.struct("gram", "place")).alias("runs"))
+    return found.where("copy").select("key", "place").unionByName(_shards(_segments(by_key, wanted, match), match))
 
 
 def suffix_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
