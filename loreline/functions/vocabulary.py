@@ -1,0 +1,26 @@
+"""Closed vocabularies. Results depend on exactly these."""
+
+IMMUTABLE_PROPERTIES = ("birth_place", "date_of_birth", "origin", "eye_color", "species")
+MUTABLE_PROPERTIES = ("age", "location", "status")
+DEAD_VALUES = ("dead", "deceased", "died", "drowned", "killed", "murdered", "slain")
+ALIVE_VALUES = ("alive", "living", "alive and well", "still alive", "survived")
+INCOMPATIBLE_PREDICATES = (("ENEMY_OF", "FRIEND_OF"), ("ENEMY_OF", "MARRIED_TO"), ("ALLY_OF", "DEAD_AT_HANDS_OF"))
+SINGLE_SOURCE_PREDICATES = ("FATHER_OF",)
+SYMMETRIC_PREDICATES = ("ALLY_OF", "ENEMY_OF", "ENGAGED_TO", "FRIEND_OF", "KNOWS", "MARRIED_TO", "RELATED_TO", "SIBLING_OF")
+NEGATIVE_PREDICATES = ("ENEMY_OF", "DEAD_AT_HANDS_OF")
+TITLES = (
+    "captain", "capt", "doctor", "dr", "mr", "mrs", "ms", "miss", "sir", "lady", "lord", "professor", "prof", "uncle",
+    "aunt", "general", "sergeant", "lieutenant", "detective", "inspector",
+)
+NAME_CONNECTORS = ("of", "the", "de", "van", "von", "la", "le", "du", "da")
+GENDERED_TITLES = {"mr": "m", "sir": "m", "lord": "m", "mrs": "f", "miss": "f", "ms": "f", "lady": "f"}
+UNITS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen"
+).split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+MENTION_TYPES = ("character", "location", "object", "organization", "other")
+PARTICIPANT_ROLES = ("agent", "patient", "target", "recipient", "location", "instrument", "participant")
+PRONOUNS = ("i", "me", "my", "you", "he", "him", "his", "she", "her", "hers", "it", "its", "we", "us", "they", "them", "their")
+NONE_WORDS = ("", "none", "n/a", "null", "unknown", "not stated", "not mentioned")
+EDITION_QUOTES = ("‘’“”", "''\"\"")
