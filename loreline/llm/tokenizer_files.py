@@ -116,60 +116,58 @@ def rank_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in d["added_tokens"]})
 
 
-#: Marks that may trail a word; a run of them is one pre-token of its own. No apostrophe: that can open a contraction.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters, marks and a space or the end: the marks are one pre-token of their own. No apostrophe: that can open a contraction.
+_MARKED = r"(\pL)([!-&(-/:-@\[-`{-~]+)( |$)"
+
+#: Characters that lower-casing or composition could treat differently from one library to another.
+_FOREIGN = r"[^\x00-\x{12F}\x{131}-\x{24F}]"
 
 
 class IdEncoder:
     """Token ids of texts as the tokenizers library gives them, without begin or end tokens.
 
-    Files that are byte-level go through their rank encoding. Files that drop white space are cut at it by vector operations;
-    of the distinct words, Latin letters with trailing marks skip the steps that leave them as they are and go to the
-    library's model, remembered while there is room, and the others to the library. Files of other kinds go to the
-    library whole.
+    Files that are byte-level go through their rank encoding. Files that drop white space are cut at it, and between words and
+    the marks behind them, by vector operations; of the distinct words, Latin letters skip the steps that leave them as
+    they are and go to the library's model, the others to the library. A worker remembers words until they are too many,
+    then those of the last texts. Files of other kinds go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.tok = load_tokenizer(path)
+    def __init__(self, path: str, most: int = 300_000):
+        self.tok, self.most, self.memo = load_tokenizer(path), most, {}
+        self.specials = special_strings(path)
         self.ranks = rank_encoding(path) if is_byte_level(path) else None
         self.by_word = self.ranks is None and drops_space(path)
-        self.words, self.letters = Memo(most), Memo(most)
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         odd = [b for b in range(256) if b not in set(plain)]
         self.shown = [chr(b) if b in set(plain) else chr(256 + odd.index(b)) for b in range(256)]
 
     def _learn(self, words: list[str]) -> None:
-        odd, tokenize = [], self.tok.model.tokenize
-        self.letters.room(len(words))
+        odd, tokenize, memo, shown = [], self.tok.model.tokenize, self.memo, self.shown.__getitem__
         for w in words:
-            core = w.rstrip(_MARKS)
-            if not core.isalpha() or max(core) >= "\u0250" or "İ" in core:
+            if not w.isalpha() or max(w) >= "\u0250" or "İ" in w:
                 odd.append(w)
                 continue
-            low = core.lower()
-            ids = self.letters.get(low)
-            if ids is None:
-                shown = low if low.isascii() else "".join(map(self.shown.__getitem__, low.encode()))
-                ids = self.letters[low] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-            if len(core) < len(w):
-                mark = w[len(core) :]
-                own = self.letters.get(mark)
-                if own is None:
-                    own = self.letters[mark] = array("I", self.tok.encode(mark, add_special_tokens=False).ids).tobytes()
-                ids += own
-            self.words[w] = ids
+            low = w.lower()
+            memo[w] = array("I", [t.id for t in tokenize(low if low.isascii() else "".join(map(shown, low.encode())))]).tobytes()
         for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.words[w] = array("I", e.ids).tobytes()
+            memo[w] = array("I", e.ids).tobytes()
 
     def _bytes_of(self, words: list[str]) -> list[bytes]:
-        self.words.room(len(words))
-        self._learn([w for w in words if w not in self.words])
-        return list(map(self.words.__getitem__, words))
+        memo = self.memo
+        self._learn([w for w in words if w not in memo])
+        ids = list(map(memo.__getitem__, words))
+        if len(memo) > self.most:
+            memo.clear()
+            memo.update(zip(words, ids, strict=True))
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end."""
         if self.by_word:
-            words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            texts = pc.replace_substring(texts, "\n", " ")
+            if not pc.any(pc.match_substring_regex(texts, _FOREIGN)).as_py() and not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.specials):
+                texts = pc.replace_substring_regex(pc.utf8_lower(texts), _MARKED, r"\1 \2\3")
+            words = pc.split_pattern(texts, " ")
             coded = words.values.dictionary_encode()
             ids = self._bytes_of(coded.dictionary.to_pylist())
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
