@@ -131,25 +131,36 @@ def docs_of(like: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return like.sparkSession.createDataFrame(pairs, "a long, b long")
 
 
+def _jump(to: DataFrame) -> DataFrame:
+    """to (id, to) with to replaced by where it points itself. What much points at is looked up by broadcast of at most 512 rows."""
+    keyed = to.withColumn("key", F.col("to").cast("string"))
+    above = to.groupBy("to").agg(F.count("*").alias("n")).join(to.select(F.col("id").alias("to"), F.col("to").alias("above")), "to")
+    found = hot_lookup(keyed, above.select(F.col("to").cast("string").alias("key"), "n", "above"), "key", "n", to.count())
+    return found.select("id", F.col("above").alias("to"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and root (least id of its component) of every id in edges (a, b).
 
-    Each round takes the least root among neighbours and then the root of that root; rounds end when nothing changes.
-    Roots of large components are looked up by broadcast of at most 512 rows, others by a shuffle.
+    In each round every id points at its least neighbour, then two steps further down, and the edges move along: those that end in
+    one id are done. The graph shrinks from round to round until no edge is left; then the rounds' pointers are put
+    together, the last first.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    roots = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("id"), "root"), "roots")
-    total = roots.count()
-    while total:
-        near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        step = written(step, "step")
-        up = step.groupBy("root").agg(F.count("*").alias("n")).join(step.select(F.col("id").alias("root"), F.col("root").alias("above")), "root")
-        looked = hot_lookup(step.withColumn("key", F.col("root").cast("string")), up.select(F.col("root").cast("string").alias("key"), "n", "above"), "key", "n", total)
-        now = written(looked.select("id", "was", F.least("root", "above").alias("root")), "roots")
-        roots = now.select("id", "root")
-        if now.where("root <> was").isEmpty():
-            break
+    now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not now.isEmpty():
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "to")
+        to = written(_jump(written(_jump(to), "to")), "to")
+        rounds.append(to)
+        moved = now.join(to.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        now = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
+    roots = rounds.pop().withColumnRenamed("to", "root")
+    while rounds:
+        last = roots.select(F.col("id").alias("to"), "root")
+        roots = written(rounds.pop().join(last, "to", "left").select("id", F.coalesce("root", "to").alias("root")), "roots")
     return roots
 
 
