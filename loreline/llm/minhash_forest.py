@@ -10,14 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import hot_lookup, joined_bytes, map_batches, mix, run_hashes, written
+from loreline.llm.common import hot_lookup, joined_bytes, map_batches, mix, run_hashes, tidy, written
 from loreline.llm.curve_packing import word_bounds
 
 #: Prefix trees, and the levels of a label: one byte of a MinHash value each, so that a label is a 64-bit integer.
 TREES, LEVELS = 24, 8
 
 #: Documents compared at a time. Larger candidate groups are compared block by block.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES) -> int:
@@ -120,7 +120,7 @@ def forest_edges(labelled: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)], names=names)
 
     rows = labelled.select(F.posexplode("labels").alias("tree", "label"), F.col("id")).select(F.col("tree").cast("long"), "label", "id")
-    found = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(run, "a long, b long, part long, tree long, label long")
+    found = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(tidy(run), "a long, b long, part long, tree long, label long")
     found = written(found, "edges")
     ends = found.where("part IS NOT NULL").orderBy("part").collect()
     seams = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(ends[1:-1:2], ends[2::2], strict=True) if x.tree == y.tree and (x.label ^ y.label) >> low == 0 and x.a != y.a]
@@ -282,7 +282,7 @@ def compare_groups(rows: DataFrame, threshold: float) -> DataFrame:
             yield batch_of()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInArrow(run, "id long, root long, n_links long")
+    return dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInArrow(tidy(run), "id long, root long, n_links long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999) -> DataFrame:

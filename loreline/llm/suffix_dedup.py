@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import joined_bytes, mix, pieces_of, powers, text_of, written
+from loreline.llm.common import joined_bytes, mix, pieces_of, powers, text_of, tidy, written
 from loreline.llm.induced_sorting import induced_order
 
 #: Bytes of a match, and of the grams that decide which stretches may hold one.
 MATCH, GRAM = 100, 32
 
 #: Bytes sorted at a time. A shard that one popular gram makes larger is sorted whole, its queues on disk.
-SHARD = 3 << 20
+SHARD = 3 << 19
 
 _BACK = pow(int(powers(2)[1]), -1, 1 << 64)
 
@@ -96,7 +96,7 @@ def seeds(docs: DataFrame, match: int) -> DataFrame:
         if held:
             yield send(held)
 
-    return docs.select("key", "text").mapInArrow(run, "gram long, content long, key long, place long, copy boolean, route long")
+    return docs.select("key", "text").mapInArrow(tidy(run), "gram long, content long, key long, place long, copy boolean, route long")
 
 
 def _judge(found: DataFrame, parts: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _judge(found: DataFrame, parts: int) -> DataFrame:
             yield judge([np.concatenate(c) for c in zip(*held, strict=True)])
 
     dealt = found.repartition(parts, "route").sortWithinPartitions("copy", "gram", "content", "key", "place")
-    return dealt.select("gram", "content", "key", "place", "copy").mapInArrow(run, "gram long, key long, place long, copy boolean")
+    return dealt.select("gram", "content", "key", "place", "copy").mapInArrow(tidy(run), "gram long, key long, place long, copy boolean")
 
 
 def repeats_in_shard(segments: list[tuple[int, int, int, bytes]], match: int, limit: int = 1 << 28, base: int = 1 << 22) -> list[tuple[int, int]]:
@@ -214,7 +214,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
-    return docs.join(wanted, "key").select("key", "text", "runs").mapInArrow(run, "gram long, key long, first long, places long, data binary")
+    return docs.join(wanted, "key").select("key", "text", "runs").mapInArrow(tidy(run), "gram long, key long, first long, places long, data binary")
 
 
 def _shards(segments: DataFrame, match: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _shards(segments: DataFrame, match: int) -> DataFrame:
             yield flush()
 
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "key long, place long")
+    return segments.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(tidy(run), "key long, place long")
 
 
 def _cut(docs: DataFrame, repeats: DataFrame, match: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _cut(docs: DataFrame, repeats: DataFrame, match: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3]), pa.array(cols[4], pa.string())], names=names)
 
     places = repeats.groupBy("key").agg(F.collect_list("place").alias("places"))
-    return docs.join(places, "key", "left").select("key", "text", "places").mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return docs.join(places, "key", "left").select("key", "text", "places").mapInArrow(tidy(run), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def find_repeats(texts: DataFrame, by_key: DataFrame, match: int) -> DataFrame:

@@ -49,7 +49,6 @@ def load_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@lru_cache(maxsize=4)
 def description(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -60,11 +59,13 @@ def splitter(pattern: str):
     return regex.compile(pattern)
 
 
+@lru_cache(maxsize=8)
 def special_strings(path: str) -> tuple[str, ...]:
     """Strings of a tokenizers file that become one token wherever they stand in a text, longest first."""
     return tuple(sorted((t["content"] for t in description(path)["added_tokens"]), key=len, reverse=True))
 
 
+@lru_cache(maxsize=8)
 def is_byte_level(path: str) -> bool:
     """Whether a tokenizers file splits text by the byte-level pattern alone and changes nothing before."""
     d = description(path)
@@ -133,9 +134,10 @@ class IdEncoder:
     """
 
     def __init__(self, path: str, most: int = 300_000):
-        self.tok, self.most, self.memo = load_tokenizer(path), most, {}
+        self.most, self.memo = most, {}
         self.specials = special_strings(path)
         self.ranks = rank_encoding(path) if is_byte_level(path) else None
+        self.tok = load_tokenizer(path) if self.ranks is None else None
         self.by_word = self.ranks is None and drops_space(path)
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         odd = [b for b in range(256) if b not in set(plain)]
