@@ -34,6 +34,12 @@ def reordered(w: World):
     return jobs.reorder(e, wanted, ["world_id"]).select("event_id", "world_id", "sequence_index")
 
 
+def all_reordered(w: World):
+    e = w.event()
+    wanted = e.groupBy("world_id").agg(F.sort_array(F.collect_set("event_id"), asc=False).alias("ids")).withColumn("ids", F.when(F.col("world_id") % 2 == 0, F.col("ids")).otherwise(F.slice("ids", F.lit(2), F.size("ids"))))
+    return jobs.reorder(e, wanted, ["world_id"]).select("event_id", "world_id", "sequence_index")
+
+
 def fact_proposals(w: World):
     inc = w.fact_version().where("version_id % 3 = 0").select("entity_id", "property_name", F.floor("value").cast("string").alias("value")).distinct()
     now = ver.current_active(w.fact_version().where("version_id % 3 <> 0"), ["entity_id", "property_name"]).select("entity_id", "property_name", F.floor("value").cast("string").alias("value"))
@@ -63,9 +69,9 @@ def event_proposals(w: World):
 
 def resolved(w: World):
     """Customers as entities named after part names; mentions are shortened, titled or exact."""
-    e = w.raw("part").where("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("canonical_name"), F.lit("object").alias("entity_type"))
-    a = w.raw("part").where("p_partkey < 300 AND p_partkey % 5 = 0").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("Unit "), F.col("p_partkey").cast("string")).alias("alias"))
-    i = w.raw("part").where("p_partkey < 600").select(F.col("p_partkey").alias("mention_id"), F.array(F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("unit "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey").cast("string")))).alias("names"), F.lit("object").alias("entity_type"))
+    e = w.raw("part").select(F.col("p_partkey").alias("id"), F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("canonical_name"), F.lit("object").alias("entity_type"))
+    a = w.raw("part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("Unit "), F.col("p_partkey").cast("string")).alias("alias"))
+    i = w.raw("part").select(F.col("p_partkey").alias("mention_id"), F.array(F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("unit "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey").cast("string")))).alias("names"), F.lit("object").alias("entity_type"))
     return resolve.resolve(i, e, a).select("mention_id", "entity_id", "how")
 
 
@@ -73,6 +79,10 @@ def pairs(w: World):
     return w.entity().where("id < 40 AND id % 4 = 1").select(F.col("id").alias("source_id"), (F.col("id") - 1).alias("target_id"))
 
 
+def all_pairs(w: World):
+    return w.entity().where("id % 4 = 1").select(F.col("id").alias("source_id"), (F.col("id") - 1).alias("target_id"))
+
+
 def merged_facts(w: World):
     return merge.facts(w.fact_version().where("entity_id < 40"), pairs(w)).groupBy("entity_id", "property_name", "status").agg(F.count("*").alias("n"))
 
@@ -81,17 +91,26 @@ def merged_participants(w: World):
     return merge.participants(w.participant().where("entity_id < 40"), pairs(w)).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
+def all_merged_facts(w: World):
+    return merge.facts(w.fact_version(), all_pairs(w)).groupBy("entity_id", "property_name", "status").agg(F.count("*").alias("n"))
+
+
+def all_merged_participants(w: World):
+    return merge.participants(w.participant(), all_pairs(w)).groupBy("entity_id").agg(F.count("*").alias("n"))
+
+
 def merged_relations(w: World):
     return merge.relations(w.relationship_version(), pairs(w)).groupBy("source_id", "target_id", "status").agg(F.count("*").alias("n"))
 
 
 _PAIRS = ", m AS (SELECT id AS s, id - 1 AS t FROM entity WHERE id < 40 AND id % 4 = 1)"
+_ALL_PAIRS = ", m AS (SELECT id AS s, id - 1 AS t FROM entity WHERE id % 4 = 1)"
 
 
 def merged_aliases(w: World):
-    e = w.entity().where("id < 40").select("id", "canonical_name")
-    known = w.entity().where("id < 40").select(F.col("id").alias("entity_id"), F.concat(F.lit("A"), (F.col("id") % 3).cast("string")).alias("alias")).unionByName(w.entity().where("id < 40").select(F.col("id").alias("entity_id"), F.upper(F.concat(F.lit("customer#00000000"), F.lpad(((F.col("id") - 1) % 10).cast("string"), 1, "0"))).alias("alias")))
-    return merge.aliases(e, known, pairs(w)).groupBy("entity_id").agg(F.count("*").alias("n"), F.min(F.lower("alias")).alias("first"))
+    e = w.entity().select("id", "canonical_name")
+    known = w.entity().select(F.col("id").alias("entity_id"), F.concat(F.lit("A"), (F.col("id") % 3).cast("string")).alias("alias")).unionByName(w.entity().select(F.col("id").alias("entity_id"), F.upper(F.concat(F.lit("customer#00000000"), F.lpad(((F.col("id") - 1) % 10).cast("string"), 1, "0"))).alias("alias")))
+    return merge.aliases(e, known, all_pairs(w)).groupBy("entity_id").agg(F.count("*").alias("n"), F.min(F.lower("alias")).alias("first"))
 
 
 def lineage(w: World):
@@ -115,6 +134,18 @@ def words_within(w: World):
     return met.where("n = na OR n = nb").select("a", "b")
 
 
+def all_words_within(w: World):
+    """The same for all parts: a name that lies in the other also holds its own rarest word, so only rows that share that one meet."""
+    a = w.raw("part").select(F.col("p_partkey").alias("a"), S.name_words(F.col("p_name")).alias("aw"))
+    b = w.raw("part").select(F.col("p_partkey").alias("b"), S.name_words(F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("bw"))
+    each = lambda rows, words: rows.withColumn("word", F.explode(words))
+    uses = each(a, "aw").select("word").unionAll(each(b, "bw").select("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    rarest = lambda rows, key, words: each(rows, words).join(uses, "word").groupBy(key, words).agg(F.min_by("word", F.struct("uses", "word")).alias("word"))
+    one = rarest(a, "a", "aw").join(each(b, "bw"), "word").where(F.size(F.array_except("aw", "bw")) == 0)
+    other = rarest(b, "b", "bw").join(each(a, "aw"), "word").where(F.size(F.array_except("bw", "aw")) == 0)
+    return one.select("a", "b").unionAll(other.select("a", "b")).distinct()
+
+
 def searched(w: World):
     """Timeline filters at once: chapter or unassigned, a participant, a word of the type or a role."""
     p = w.participant().where("role = 'Agent'").groupBy("event_id").agg(F.array_sort(F.collect_set("entity_id")).alias("agents"))
@@ -129,6 +160,12 @@ def details(w: World):
     return w.entity().where("id < 200").select(F.col("id").alias("entity_id"), "canonical_name").join(f, "entity_id", "left").join(r, "entity_id", "left").fillna(0, ["n_facts", "n_relations"])
 
 
+def all_details(w: World):
+    f = ver.current_or_latest(w.fact_version(), ["entity_id", "property_name"]).groupBy("entity_id").agg(F.count("*").alias("n_facts"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "property_name", "status"))), ";").alias("facts"))
+    r = w.relationship_version().groupBy(F.col("source_id").alias("entity_id")).agg(F.count("*").alias("n_relations"))
+    return w.entity().select(F.col("id").alias("entity_id"), "canonical_name").join(f, "entity_id", "left").join(r, "entity_id", "left").fillna(0, ["n_facts", "n_relations"])
+
+
 def renumbered(w: World):
     from pyspark.sql import Window as W
 
@@ -216,4 +253,31 @@ QUERIES = {
     "tenant_worlds": (lambda w: w.entity().join(w.world().where("owner = 1").select(F.col("id").alias("world_id")), "world_id", "left_semi").select("id", "world_id"), with_views("SELECT id, world_id FROM entity WHERE world_id IN (SELECT id FROM world WHERE owner = 1)", "entity", "world")),
     "entities_without_facts": (lambda w: w.entity().join(w.fact_version().select(F.col("entity_id").alias("id")), "id", "left_anti").select("id"), with_views("SELECT id FROM entity WHERE id NOT IN (SELECT entity_id FROM fact_version)", "entity", "fact_version")),
     "page_of_entities": (lambda w: w.entity().orderBy("canonical_name", "id").offset(100).limit(50).select("id", "canonical_name"), with_views("SELECT id, canonical_name FROM entity ORDER BY canonical_name, id LIMIT 50 OFFSET 100", "entity")),
+    # The whole tables. The queries of these names without _all keep the rows that their SQL names.
+    "reorder_positions_all": (
+        all_reordered,
+        with_views("SELECT event_id, world_id, CASE WHEN world_id % 2 = 0 THEN row_number() OVER (PARTITION BY world_id ORDER BY event_id DESC) - 1 ELSE sequence_index END AS sequence_index FROM event", "event"),
+    ),
+    "merge_facts_all": (
+        all_merged_facts,
+        with_views(_ALL_PAIRS + """, v AS (SELECT coalesce(m.t, f.entity_id) AS entity_id, property_name, status, m.t IS NOT NULL AS was FROM fact_version f LEFT JOIN m ON m.s = f.entity_id),
+            x AS (SELECT *, max(CASE WHEN NOT was AND status = 'ACTIVE' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, property_name) AS has FROM v)
+            SELECT entity_id, property_name, CASE WHEN was AND status = 'ACTIVE' AND has = 1 THEN 'SUPERSEDED' ELSE status END AS status, count(*) AS n FROM x GROUP BY ALL""", "fact_version", "entity"),
+    ),
+    "merge_participants_all": (
+        all_merged_participants,
+        with_views(_ALL_PAIRS + """, v AS (SELECT p.event_id, coalesce(m.t, p.entity_id) AS entity_id, m.t IS NOT NULL AS was, role FROM participant p LEFT JOIN m ON m.s = p.entity_id),
+            x AS (SELECT *, max(CASE WHEN NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY event_id, entity_id) AS there, row_number() OVER (PARTITION BY event_id, entity_id, was ORDER BY role) AS r FROM v)
+            SELECT entity_id, count(*) AS n FROM x WHERE NOT was OR (there = 0 AND r = 1) GROUP BY 1""", "participant", "entity"),
+    ),
+    "name_words_within_all": (
+        all_words_within,
+        r"WITH a AS (SELECT p_partkey AS a, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), b AS (SELECT p_partkey AS b, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS v FROM part) SELECT a, b FROM a, b WHERE list_has_all(w, v) OR list_has_all(v, w)",
+    ),
+    "entity_details_all": (
+        all_details,
+        with_views(""", f AS (SELECT * FROM fact_version QUALIFY row_number() OVER (PARTITION BY entity_id, property_name ORDER BY (status = 'ACTIVE') DESC, created_at DESC, version_id DESC) = 1),
+            g AS (SELECT entity_id, count(*) AS n_facts, string_agg(property_name || '=' || status, ';' ORDER BY property_name || '=' || status) AS facts FROM f GROUP BY 1), r AS (SELECT source_id AS entity_id, count(*) AS n_relations FROM relationship_version GROUP BY 1)
+            SELECT e.id AS entity_id, canonical_name, coalesce(n_facts, 0) AS n_facts, facts, coalesce(n_relations, 0) AS n_relations FROM entity e LEFT JOIN g ON g.entity_id = e.id LEFT JOIN r ON r.entity_id = e.id""", "entity", "fact_version", "relationship_version"),
+    ),
 }
