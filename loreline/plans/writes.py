@@ -64,7 +64,7 @@ def token_times(w: World):
 
 
 def token_participants(w: World):
-    t = tokens(w).where("doc_id < 5000")
+    t = tokens(w)
     m = t.where("pos = 'NOUN'").select("doc_id", F.concat(F.lit("M"), "token_id").alias("mention_id"), F.lit("character").alias("type"), "start", "end")
     return extraction.participants(extraction.find_events(t), t, m).groupBy("role").agg(F.count("*").alias("n"))
 

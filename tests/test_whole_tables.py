@@ -33,3 +33,8 @@ def test_aliases_of_all_entities(spark, sf, far):
     ids = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
     merged = {i + FAR - 1 if (i + FAR) % 4 == 1 else i + FAR for i in ids}
     assert {r.entity_id for r in run("merge_aliases", spark, far).collect()} == merged
+
+
+def test_participants_of_all_turns(spark, sf, far):
+    want = {r.role: r.n for r in run("token_participants", spark, far).collect()}
+    assert want and all(want.values())
