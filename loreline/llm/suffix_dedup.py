@@ -283,6 +283,14 @@ def find_repeats(texts: DataFrame, by_key: DataFrame, match: int) -> DataFrame:
     return found.where("copy").select("key", "place").unionByName(_shards(_segments(by_key, wanted, match), match))
 
 
+def _judged(keyed: DataFrame, plain: bool, match: int) -> DataFrame:
+    """A row of _cut for each _key of keyed, which _keyed has made."""
+    texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
+    texts = texts if plain else texts.dropDuplicates(["key"])
+    by_key = texts.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    return _cut(by_key, find_repeats(texts, by_key, match), match)
+
+
 def suffix_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """Judges every byte of docs (doc_id, text; other columns are ignored): it goes if a string of match bytes that covers
     it also starts earlier, in a document of smaller doc_id or further up in its own.
@@ -294,10 +302,7 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
     doc_ids come first. Texts shorter than match (at most 200) are kept. No documents give no rows.
     """
     keyed, plain = _keyed(docs)
-    texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
-    texts = texts if plain else texts.dropDuplicates(["key"])
-    by_key = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    out = _cut(by_key, find_repeats(texts, by_key, match), match)
+    out = _judged(keyed, plain, match)
     if plain:
         return out.withColumnRenamed("key", "doc_id")
     return keyed.select(F.col("_key").alias("key"), "doc_id").join(out, "key").drop("key")
@@ -306,9 +311,10 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
 def cut_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """docs with text as suffix_dedup keeps it and n_chars, where there is one, to match; other columns stand.
 
-    doc_id must be unique. Documents of which nothing is left stay, with an empty text.
+    Every row stays, also with a null or repeated doc_id, and those of which nothing is left, with an empty text.
     """
-    kept = suffix_dedup(docs, match).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    rest = docs.drop("text").join(kept, docs["doc_id"] == kept["_id"])
+    keyed, plain = _keyed(docs)
+    kept = _judged(keyed, plain, match).select(F.col("key").alias("_of"), F.col("kept").alias("_kept"))
+    rest = keyed.drop("text", "_text").join(kept, F.col("_key") == F.col("_of"))
     new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
     return rest.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])

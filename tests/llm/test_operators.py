@@ -321,6 +321,14 @@ def test_cut_repeats_keeps_columns(docs):
     assert out.columns == docs.columns and out.where("n_chars <> length(text)").count() == 0 and out.count() == docs.count()
 
 
+def test_cut_repeats_keeps_odd_ids(spark):
+    a, b, c = ("".join(chr(97 + (i * i * k) % 23) for i in range(n)) for k, n in ((3, 90), (5, 80), (7, 70)))
+    rows = [(None, a, "x"), (None, a, "y"), (1, b, "z"), (1, b, "z"), (1, c, "u"), (2, c, "v")]
+    out = suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plain = lambda x: sorted(map(str, x))
+    assert plain(tuple(r) for r in out.collect()) == plain(rows)
+
+
 # ---- 10 packing
 
 
