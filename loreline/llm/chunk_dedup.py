@@ -58,6 +58,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows that exact_dedup keeps, with all their columns. Rows are told by doc_id, also a null one, and text."""
+    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of")).distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(text_of().cast("binary"), 256) == F.col("_of")), "left_anti")

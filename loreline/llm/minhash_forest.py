@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import hot_lookup, joined_bytes, map_batches, mix, run_hashes, tidy, written
+from loreline.llm.common import hot_lookup, joined_bytes, keyed, map_batches, mix, run_hashes, tidy, written
 from loreline.llm.curve_packing import word_bounds
 
 #: Prefix trees, and the levels of a label: one byte of a MinHash value each, so that a label is a 64-bit integer.
@@ -331,6 +331,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
 
 
 def keep_one_a_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents that lead their class (least doc_id) or are in none, with all their columns."""
-    dropped = near_duplicates(docs, **options).where("class_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows that lead their class (least doc_id, then text hash) or are in none, with all their columns. Rows that
+    repeat a doc_id with different texts are judged each by its own text; those with a null doc_id are in no class."""
+    rows, _ = keyed(docs.where("doc_id IS NOT NULL"))
+    dropped = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_key"))
+    kept = rows.join(dropped, "_key", "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))

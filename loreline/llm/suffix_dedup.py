@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import joined_bytes, mix, pieces_of, powers, text_of, tidy, written
+from loreline.llm.common import joined_bytes, keyed, mix, pieces_of, powers, tidy, written
 from loreline.llm.induced_sorting import induced_order
 
 #: Bytes of a match, and of the grams that decide which stretches may hold one.
@@ -170,34 +170,6 @@ def repeats_in_shard(segments: list[tuple[int, int, int, bytes]], match: int, li
     return [(segments[s][0], (segments[s][1] + p) * 256 + k) for s, p, k in zip(own.tolist(), (first - begin[own]).tolist(), n.tolist(), strict=True)]
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with _text and _key: doc_id where it is unique and never null, else its rank by doc_id (nulls first) and text
-    hash. Also whether the first holds."""
-    docs = docs.withColumn("_text", text_of())
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    if ids.where("id IS NULL").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
-        return docs.withColumn("_key", F.col("doc_id").cast("long")), True
-    docs = docs.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * k, pa.int64()), pa.array(range(n, n + k), pa.int64())], names=["_id", "_of", "part", "rank"])
-            n += k
-
-    ranked = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("_sha").alias("_of")).distinct().repartitionByRange("_id", "_of").sortWithinPartitions("_id", "_of")
-    ranked = written(ranked.mapInArrow(number, "_id long, _of string, part long, rank long"), "ranks")
-    before, bases = 0, []
-    for part, n in sorted(ranked.groupBy("part").count().collect()):
-        bases.append((part, before))
-        before += n
-    ranked = ranked.join(F.broadcast(docs.sparkSession.createDataFrame(bases, "part long, base long")), "part").select("_id", "_of", (F.col("base") + F.col("rank")).alias("_key"))
-    return docs.join(ranked, docs["doc_id"].cast("long").eqNullSafe(ranked["_id"]) & (docs["_sha"] == ranked["_of"])).drop("_sha", "_id", "_of"), False
-
-
 def _segments(docs: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
     """gram, key, first, places and bytes of the stretches in wanted (key, runs of gram and place), cut from the texts."""
     names = ["gram", "key", "first", "places", "data"]
@@ -283,11 +255,11 @@ def find_repeats(texts: DataFrame, by_key: DataFrame, match: int) -> DataFrame:
     return found.where("copy").select("key", "place").unionByName(_shards(_segments(by_key, wanted, match), match))
 
 
-def _judged(keyed: DataFrame, plain: bool, match: int) -> DataFrame:
-    """A row of _cut for each _key of keyed, which _keyed has made."""
-    texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
+def _judged(rows: DataFrame, plain: bool, match: int) -> DataFrame:
+    """A row of _cut for each _key of rows, which keyed has made."""
+    texts = rows.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
     texts = texts if plain else texts.dropDuplicates(["key"])
-    by_key = texts.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    by_key = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     return _cut(by_key, find_repeats(texts, by_key, match), match)
 
 
@@ -301,11 +273,11 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH) -> DataFrame:
     follow each other by a hash of their text; rows that repeat both are judged as one and share its result. Null
     doc_ids come first. Texts shorter than match (at most 200) are kept. No documents give no rows.
     """
-    keyed, plain = _keyed(docs)
-    out = _judged(keyed, plain, match)
+    rows, plain = keyed(docs)
+    out = _judged(rows, plain, match)
     if plain:
         return out.withColumnRenamed("key", "doc_id")
-    return keyed.select(F.col("_key").alias("key"), "doc_id").join(out, "key").drop("key")
+    return rows.select(F.col("_key").alias("key"), "doc_id").join(out, "key").drop("key")
 
 
 def cut_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
@@ -313,8 +285,8 @@ def cut_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
 
     Every row stays, also with a null or repeated doc_id, and those of which nothing is left, with an empty text.
     """
-    keyed, plain = _keyed(docs)
-    kept = _judged(keyed, plain, match).select(F.col("key").alias("_of"), F.col("kept").alias("_kept"))
-    rest = keyed.drop("text", "_text").join(kept, F.col("_key") == F.col("_of"))
+    rows, plain = keyed(docs)
+    kept = _judged(rows, plain, match).select(F.col("key").alias("_of"), F.col("kept").alias("_kept"))
+    rest = rows.drop("text", "_text").join(kept, F.col("_key") == F.col("_of"))
     new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
     return rest.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])

@@ -329,6 +329,17 @@ def test_cut_repeats_keeps_odd_ids(spark):
     assert plain(tuple(r) for r in out.collect()) == plain(rows)
 
 
+def test_dropping_copies_judges_rows(spark):
+    """A row goes for its own text, not for that of another row of its doc_id; null ids are told as well."""
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "pq")
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, chunk_dedup.drop_copies(docs).collect())) == Counter([(1, b), (2, a), (None, "alone")])
+    rows = [(1, a), (3, f"{a} more"), (3, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, minhash_forest.keep_one_a_class(docs).collect())) == Counter([(1, a), (3, b), (None, a)])
+
+
 # ---- 10 packing
 
 
