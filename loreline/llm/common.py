@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,9 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one is set only where none is."""
+    """The folder that the driver and all executors share. Where none is set, a local one is made for a local master;
+    on a cluster that is an error, since each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loreline-")
         spark.conf.set("spark.checkpoint.dir", found)
         _written.append(found)
@@ -137,14 +141,24 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     return out.select(*left.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in cols])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id (long), text, and rest: a struct of all columns but text, so that no name of docs meets one made later."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
+
+
+def unpacked(rows: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """rows of packed with the columns names as they were, but for those in new."""
+    return rows.select(*[new.get(c, F.col("text") if c == "text" else F.col("rest").getField(c)).alias(c) for c in names])
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with _text and _key: doc_id where it is unique and never null, else its rank by doc_id (nulls first) and text
-    hash. Also whether the first holds."""
-    docs = docs.withColumn("_text", text_of())
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    if ids.where("id IS NULL").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
-        return docs.withColumn("_key", F.col("doc_id").cast("long")), True
-    docs = docs.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
+    """packed docs with key: doc_id where it is unique and never null, else its rank by doc_id (nulls first) and text
+    hash; null texts count as empty. Also whether the first holds."""
+    rows = packed(docs)
+    if rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return rows.withColumn("key", F.col("doc_id")), True
+    rows = rows.withColumn("sha", F.sha2(text_of().cast("binary"), 256))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -152,17 +166,23 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * k, pa.int64()), pa.array(range(n, n + k), pa.int64())], names=["_id", "_of", "part", "rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * k, pa.int64()), pa.array(range(n, n + k), pa.int64())], names=["id", "of", "part", "rank"])
             n += k
 
-    ranked = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("_sha").alias("_of")).distinct().repartitionByRange("_id", "_of").sortWithinPartitions("_id", "_of")
-    ranked = written(ranked.mapInArrow(number, "_id long, _of string, part long, rank long"), "ranks")
+    ranked = rows.select(F.col("doc_id").alias("id"), F.col("sha").alias("of")).distinct().repartitionByRange("id", "of").sortWithinPartitions("id", "of")
+    ranked = written(ranked.mapInArrow(number, "id long, of string, part long, rank long"), "ranks")
     before, bases = 0, []
     for part, n in sorted(ranked.groupBy("part").count().collect()):
         bases.append((part, before))
         before += n
-    ranked = ranked.join(F.broadcast(docs.sparkSession.createDataFrame(bases, "part long, base long")), "part").select("_id", "_of", (F.col("base") + F.col("rank")).alias("_key"))
-    return docs.join(ranked, docs["doc_id"].cast("long").eqNullSafe(ranked["_id"]) & (docs["_sha"] == ranked["_of"])).drop("_sha", "_id", "_of"), False
+    ranked = ranked.join(F.broadcast(docs.sparkSession.createDataFrame(bases, "part long, base long")), "part").select("id", "of", (F.col("base") + F.col("rank")).alias("key"))
+    return rows.join(ranked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of"))).select("doc_id", "text", "rest", "key"), False
+
+
+def parts_for(df: DataFrame, column: str, size: int = 64 << 20) -> int:
+    """Partitions of about so many bytes of a string or binary column, at least as many as shuffles have."""
+    found = df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // size))
 
 
 # ---- bytes of a batch, hashed with vector operations

@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from loreline.llm.common import joined_bytes, mix, run_hashes, written
+from loreline.llm.common import joined_bytes, mix, packed, run_hashes, unpacked, written
 
 #: Hash buckets of words and word pairs, and the strength of the raw model as prior of the target's, in raw counts a bucket.
 BUCKETS, PRIOR = 1 << 16, 30.0
@@ -104,20 +104,22 @@ def fit(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS, prior: floa
     return Model(raw, target, targets, prior)
 
 
-def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _log_weight: the sum of the model's log ratios over a text's features; null and empty texts have 0."""
-    held = docs.sparkSession.sparkContext.broadcast((model.raw, model.target, model.prior))
-    at, names = docs.columns.index("text"), docs.columns
+def weigh(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (doc_id, text, rest: of packed) with log_weight: the sum of the model's log ratios over a text's features; null
+    and empty texts have 0."""
+    held = rows.sparkSession.sparkContext.broadcast((model.raw, model.target, model.prior))
+    names = ["doc_id", "text", "rest", "log_weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Model(*held.value[:2], None, held.value[2])
         for batch in batches:
-            fitted = np.array(batch.column(len(names)).to_pylist(), dtype=bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts.log_weights(batch.column(at), fitted))], names=[*names, "_log_weight"])
+            fitted = batch.column(3).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts.log_weights(batch.column(1), fitted))], names=names)
 
-    marked = docs.join(F.broadcast(model.fitted.withColumn("_fitted", F.lit(True))), "doc_id", "left")
-    marked = marked.select(*[docs[c] for c in names], F.coalesce("_fitted", F.lit(False)).alias("_fitted"))
-    return marked.mapInArrow(run, StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())]))
+    marked = rows.join(F.broadcast(model.fitted.withColumn("fitted", F.lit(True))), "doc_id", "left")
+    marked = marked.select("doc_id", "text", "rest", F.coalesce("fitted", F.lit(False)).alias("fitted"))
+    types = (LongType(), StringType(), rows.schema["rest"].dataType, DoubleType())
+    return marked.mapInArrow(run, StructType([StructField(n, t) for n, t in zip(names, types, strict=True)]))
 
 
 def gumbel_noise(doc_id: Column, seed: int) -> Column:
@@ -176,8 +178,9 @@ class Classifier:
     cut: float
     seed: int
 
-    def keyed(self, docs: DataFrame) -> DataFrame:
-        return weigh(docs, self.model).withColumn("_key", F.col("_log_weight") + gumbel_noise(F.col("doc_id"), self.seed))
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """doc_id, text, rest (of packed), log_weight and key."""
+        return weigh(packed(docs), self.model).withColumn("key", F.col("log_weight") + gumbel_noise(F.col("doc_id"), self.seed))
 
 
 def train(docs: DataFrame, labels: DataFrame, lost: float = 0.005, seed: int = 17, fit_rows: int = FIT_ROWS) -> Classifier:
@@ -187,30 +190,37 @@ def train(docs: DataFrame, labels: DataFrame, lost: float = 0.005, seed: int = 1
     half and which rows a sample of more than fit_rows keeps. The cut is the lost quantile of the other half's keys:
     that share of target documents is expected to fall under it. Without labelled targets everything passes.
     """
-    targets = labels.groupBy("doc_id").agg(F.min(F.col("target").cast("int")).alias("target")).where("target = 1 AND doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    targets = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("target").cast("int")).alias("target")).where("target = 1 AND doc_id IS NOT NULL")
     drawn = targets.select("doc_id", F.xxhash64("doc_id", F.lit(seed + 1)).alias("draw"))
     halves = [drawn.where(F.pmod("draw", F.lit(2)) == i).orderBy("draw", "doc_id").limit(fit_rows).select("doc_id") for i in (0, 1)]
     model = fit(docs, written(halves[0], "fitted"))
-    others = docs.join(F.broadcast(halves[1]), "doc_id", "left_semi").select("doc_id", "text")
-    keys = Classifier(model, 0.0, seed).keyed(others)
-    cut = keys.agg(F.percentile("_key", F.lit(lost))).first()[0]
+    keys = Classifier(model, 0.0, seed).judge(docs.join(F.broadcast(halves[1]), "doc_id", "left_semi"))
+    cut = keys.agg(F.percentile("key", F.lit(lost))).first()[0]
     return Classifier(model, float("-inf") if cut is None else cut, seed)
 
 
-def resample(docs: DataFrame, labels: DataFrame, lost: float = 0.005, seed: int = 17) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None, lost: float, seed: int, columns: list[str]) -> DataFrame:
+    """columns of the judged docs, and selected, by gumbel_top_k. With k None as many are drawn as documents that training
+    expects to be like the targets: those whose key reaches its cut."""
+    classifier = train(docs, labels, lost, seed)
+    keys = written(classifier.judge(docs).select(*columns), "keys")
+    return gumbel_top_k(keys, keys.where(F.col("key") >= classifier.cut).count() if k is None else k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, lost: float = 0.005, seed: int = 17) -> DataFrame:
     """Importance resampling of all documents (doc_id, text; other columns are ignored) towards the labelled targets.
 
     Returns for every row doc_id, log_weight, key (log weight plus Gumbel noise of the id) and selected: whether it is
-    among the k largest keys, where k is the number of keys that reach the cut of train. Null and empty texts have
-    log_weight 0; repeated rows of an id share their noise; no documents give no rows.
+    among the k largest keys, a draw without replacement in proportion to the importance weights. Without k, it is
+    the number of documents that look like targets: all but a share of lost of held-out targets are expected among
+    them. Weights are sums over a whole text, so next to those of long texts the noise is small. Null and empty texts
+    have log_weight 0; repeated rows of an id share their noise; no documents give no rows.
     """
-    judge = train(docs, labels, lost, seed)
-    keys = judge.keyed(docs.select("doc_id", "text")).select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
-    keys = written(keys, "keys")
-    return gumbel_top_k(keys, keys.where(F.col("key") >= judge.cut).count())
+    return resampled(docs.select("doc_id", "text"), labels, k, lost, seed, ["doc_id", "log_weight", "key"])
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, lost: float = 0.005, seed: int = 17) -> DataFrame:
-    """The documents that resample selects, all columns as they were, in one pass after training and without a shuffle."""
-    judge = train(docs, labels, lost, seed)
-    return judge.keyed(docs).where(F.col("_key") >= judge.cut).select(*docs.columns)
+def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, lost: float = 0.005, seed: int = 17) -> DataFrame:
+    """The rows that resample selects, all columns as they were. Every row is judged by its own text."""
+    out = resampled(docs, labels, k, lost, seed, ["doc_id", "text", "rest", "key"])
+    return unpacked(out.where("selected"), docs.columns)

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import hot_lookup, joined_bytes, keyed, map_batches, mix, run_hashes, tidy, written
+from loreline.llm.common import hot_lookup, joined_bytes, keyed, map_batches, mix, run_hashes, text_of, tidy, unpacked, written
 from loreline.llm.curve_packing import word_bounds
 
 #: Prefix trees, and the levels of a label: one byte of a MinHash value each, so that a label is a 64-bit integer.
 TREES, LEVELS = 24, 8
 
-#: Documents compared at a time. Larger candidate groups are compared block by block.
-BLOCK = 1024
+#: Documents and bytes of text compared at a time. Larger candidate groups are compared block by block.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+
+#: Deviations that an estimate of likeness may fall short before a pair counts as no candidate, and the rows of a prefix
+#: beyond which its neighbours count as candidates without an estimate.
+DEVIATIONS, POPULAR = 6.0, 20_000
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES) -> int:
@@ -29,7 +35,7 @@ def depth_for(threshold: float, recall: float, trees: int = TREES) -> int:
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct runs of words (split at ASCII white space) and the number of its text.
+    """Hashes of each text's distinct runs of words (split at ASCII white space) and the number of its text, for labels only.
 
     A text of fewer words is one run of all its words; one without words has none. Sorted by text, then hash.
     """
@@ -54,15 +60,35 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return sets[fresh], own[fresh]
 
 
-def set_keys(sets: np.ndarray, own: np.ndarray, n: int) -> list[str | None]:
-    """A 128-bit digest of each set (hex), null for the empty one."""
-    parts = []
-    for salt in (0x51ED270B7A4F9E15, 0xC2B2AE3D27D4EB4F):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(salt)), dtype=np.uint64)])
-        cut = np.searchsorted(own, np.arange(n + 1))
-        parts.append(mix(sums[cut[1:]] - sums[cut[:-1]] + np.diff(cut).astype(np.uint64)).tolist())
-    sizes = np.bincount(own, minlength=n)
-    return [f"{a:016x}{b:016x}" if s else None for a, b, s in zip(*parts, sizes.tolist(), strict=True)]
+def set_keys(texts: pa.Array) -> list[str | None]:
+    """SHA-256 (hex) of each text's words, joined by a space; null without words. Equal keys mean equal runs of words."""
+    words = [raw.split() for raw in texts.fill_null("").cast(pa.binary()).to_pylist()]
+    return [hashlib.sha256(b" ".join(w)).hexdigest() if w else None for w in words]
+
+
+def exact_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets, but a run is a number that stands for its words themselves: equal numbers, equal words.
+
+    Words are numbered by a dictionary, then runs of two, three and more words by the numbers of their parts.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.fill_null("").cast(pa.large_string())))
+    n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten()
+    empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    n -= np.bincount(np.repeat(np.arange(len(n)), n), weights=empty, minlength=len(n)).astype(np.int64)
+    codes = flat.filter(pa.array(~empty)).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    first = np.cumsum(n) - n
+    runs = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    own = np.repeat(np.arange(len(n)), runs)
+    begin = np.repeat(first, runs) + np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs)
+    last, most = (first + n)[own], int(codes.max(initial=0)) + 1
+    codes = np.append(codes, 0)
+    run = np.zeros(len(own), dtype=np.int64)
+    for k in range(words):
+        here = np.where(begin + k < last, codes[np.minimum(begin + k, len(codes) - 1)], 0)
+        run = np.unique(run * most + here, return_inverse=True)[1].reshape(-1)
+    both = np.unique(own * (int(run.max(initial=0)) + 1) + run)
+    return both % (int(run.max(initial=0)) + 1), both // (int(run.max(initial=0)) + 1)
 
 
 def labels_of(sets: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
@@ -80,51 +106,116 @@ def labels_of(sets: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches_of(labels: np.ndarray) -> np.ndarray:
+    """One bit of every level of labels (texts x trees), as 64-bit integers (texts x 3): two texts agree in a bit with
+    probability (1 + likeness) / 2."""
+    bits = np.ascontiguousarray(labels).view(np.uint8).reshape(len(labels), TREES * LEVELS) & 1
+    return np.packbits(bits, axis=1).view("<i8").reshape(len(labels), -1)
+
+
+def least_agreement(threshold: float) -> int:
+    """Bits of sketches that two texts of that likeness have in common but for a chance of 1 in 10 ** 9."""
+    n, p = TREES * LEVELS, (1 + threshold) / 2
+    return int(n * p - DEVIATIONS * np.sqrt(n * p * (1 - p)))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set_key and labels of each document; set_key is null where a text has no words."""
+    """doc_id, n_bytes, set_key, labels and sketch of each document; set_key is null where a text has no words."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets, own = shingle_sets(batch.column(1), words)
-        labels = labels_of(sets, own, batch.num_rows)
-        return {"doc_id": batch.column(0), "set_key": set_keys(sets, own, batch.num_rows), "labels": list(labels)}
+        texts, n = batch.column(1), batch.num_rows
+        labels = labels_of(*shingle_sets(texts, words), n)
+        return {"doc_id": batch.column(0), "n_bytes": pc.binary_length(texts.fill_null("")), "set_key": set_keys(texts), "labels": list(labels), "sketch": list(sketches_of(labels))}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, set_key string, labels array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, set_key string, labels array<long>, sketch array<long>")
 
 
-def forest_edges(labelled: DataFrame, depth: int) -> DataFrame:
-    """Pairs (a, b) of neighbours in the sorted labels of each tree that share a prefix of at least depth levels.
+def links_in_groups(group: np.ndarray, ids: np.ndarray, sketch: np.ndarray, least: int, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect, within each group (equal neighbouring values), all rows whose sketches agree enough.
 
-    Rows (tree, label, id) are range-sorted, the id last, so no popular prefix fills a task. Texts that share a prefix
-    stand next to each other: links between neighbours connect all of them, the deepest matches first, up the trie to
-    the depth that the recall asks for. Neighbours in different tasks are linked on the driver, one pair a task.
+    Neighbours are linked if they agree. A group where some do not is cut there, and all rows of different pieces are
+    compared. Where sure is true, neighbours of one group are linked whether they agree or not. sketch: unsigned integers.
     """
-    low = 8 * (LEVELS - depth)
+    agree = TREES * LEVELS - np.bitwise_count(sketch[1:] ^ sketch[:-1]).sum(axis=1, dtype=np.int64)
+    same = group[1:] == group[:-1]
+    near = same & ((agree >= least) | (sure[1:] & sure[:-1]))
+    left, right = list(ids[:-1][near]), list(ids[1:][near])
+    torn = np.flatnonzero(same & ~near)
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    stop = np.append(start[1:], len(group))
+    for g in np.unique(np.searchsorted(start, torn, side="right") - 1).tolist():
+        a, b = int(start[g]), int(stop[g])
+        if b - a < 3:
+            continue
+        piece = np.concatenate([[0], np.cumsum(~near[a : b - 1])])
+        for i in range(a, b - 1):
+            if (piece == piece[0]).all():
+                break
+            hit = np.flatnonzero(TREES * LEVELS - np.bitwise_count(sketch[i + 1 : b] ^ sketch[i]).sum(axis=1, dtype=np.int64) >= least) + i + 1 - a
+            for j in hit[piece[hit] != piece[i - a]].tolist():
+                if piece[j] != piece[i - a]:
+                    left.append(ids[i])
+                    right.append(ids[a + j])
+                    piece[piece == piece[j]] = piece[i - a]
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def forest_edges(labelled: DataFrame, depth: int, least: int) -> DataFrame:
+    """Pairs (a, b) that connect all rows which share a prefix of at least depth levels in some tree and agree in least
+    bits of their sketches.
+
+    Rows (tree, label, id, sketch) are range-sorted, the id last, so no popular prefix fills a task. Texts that share a
+    prefix stand next to each other, the longest shared prefixes nearest; links between neighbours connect them, from the
+    deepest matches up the trie to the depth that the recall asks for. Strangers that merely share a prefix are not
+    linked, so they chain no groups together, but for three cases where all neighbours of a prefix are linked, which only
+    costs comparisons: its rows may go on in the next task, there are more than POPULAR of them, or they meet at the seam
+    of two tasks (found on the driver, one pair a task).
+    """
+    low = np.int64(8 * (LEVELS - depth))
+    names = ["a", "b", "part", "tree", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, head, last = ["a", "b", "part", "tree", "label"], None, None
+        head, held, begun = None, None, False
+
+        def linked(rows: tuple, sure: np.ndarray) -> pa.RecordBatch:
+            tree, label, ids, sketch = rows
+            prefix = (label >> low) * TREES + tree
+            a, b = links_in_groups(prefix, ids, sketch, least, sure)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), pa.int64())] * 3], names=names)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, label, ids = (batch.column(i).to_numpy() for i in range(3))
-            if head is None:
-                head = (int(tree[0]), int(label[0]), int(ids[0]))
+            rows = tuple(batch.column(i).to_numpy() for i in range(3)) + (np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(3, 6)], axis=1),)
+            head = head or tuple(int(x[0]) for x in rows[:3])
+            if held is not None:
+                rows = tuple(np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
+            prefix = (rows[1] >> low) * TREES + rows[0]
+            change = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
+            cut = int(change[-1]) if len(change) else 0
+            if cut:  # all but the last group, of which the next batch may have more
+                sure = np.zeros(cut, dtype=bool)
+                sure[: 0 if begun else int(change[0])] = True
+                yield linked(tuple(x[:cut] for x in rows), sure)
+                held, begun = tuple(x[cut:] for x in rows), True
+            elif len(prefix) > POPULAR:
+                yield linked(rows, np.ones(len(prefix), dtype=bool))
+                held, begun = tuple(x[-1:] for x in rows), False
             else:
-                tree, label, ids = (np.concatenate([[x], y]) for x, y in zip(last, (tree, label, ids), strict=True))
-            last = (int(tree[-1]), int(label[-1]), int(ids[-1]))
-            meet = (tree[1:] == tree[:-1]) & ((label[1:] ^ label[:-1]) >> low == 0) & (ids[1:] != ids[:-1])
-            a, b = ids[:-1][meet], ids[1:][meet]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), pa.int64())] * 3], names=names)
+                held = rows
         if head is not None:
-            part = TaskContext.get().partitionId()
+            yield linked(held, np.ones(len(held[0]), dtype=bool))
+            last, part = tuple(int(x[-1]) for x in held[:3]), TaskContext.get().partitionId()
             ends = [(head[2], None, 2 * part, head[0], head[1]), (last[2], None, 2 * part + 1, last[0], last[1])]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)], names=names)
 
-    rows = labelled.select(F.posexplode("labels").alias("tree", "label"), F.col("id")).select(F.col("tree").cast("long"), "label", "id")
+    rows = labelled.select(F.posexplode("labels").alias("tree", "label"), "id", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)]).withColumn("tree", F.col("tree").cast("long"))
+    rows = rows.select("tree", "label", "id", "s0", "s1", "s2")
     found = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(tidy(run), "a long, b long, part long, tree long, label long")
     found = written(found, "edges")
     ends = found.where("part IS NOT NULL").orderBy("part").collect()
-    seams = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(ends[1:-1:2], ends[2::2], strict=True) if x.tree == y.tree and (x.label ^ y.label) >> low == 0 and x.a != y.a]
-    return found.where("part IS NULL").select("a", "b").unionByName(docs_of(labelled, seams)).distinct()
+    seams = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(ends[1:-1:2], ends[2::2], strict=True) if x.tree == y.tree and (x.label ^ y.label) >> int(low) == 0 and x.a != y.a]
+    return found.where("part IS NULL AND a <> b").select("a", "b").unionByName(docs_of(labelled, seams)).distinct()
 
 
 def docs_of(like: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -227,23 +318,25 @@ def local_roots(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
         root = now
 
 
-def compare_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """Compares the sets of each group block by block: id, root (least id reached within a task) and n_links, a row for
-    each document and task it is in.
+def compare_groups(rows: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Compares the texts of each group block by block, by their runs of words themselves: id, root (least id reached
+    within a task) and n_links, a row for each document and task it is in.
 
-    rows: id, comp, blocks (how many the group has), block (its own), weight (documents with this set) and sets
-    (hashes as bytes). With more than one block a document goes to one task for each block. A task holds two blocks.
+    rows: id, comp, blocks (how many the group has), block (its own), weight (documents with this set) and text. With
+    more than one block a document goes to one task for each block. A task holds two blocks.
     """
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = rows.withColumn("pair", F.explode(others)).select("comp", "pair.i", "pair.j", "block", "id", "weight", "sets")
+    dealt = rows.withColumn("pair", F.explode(others)).select("comp", "pair.i", "pair.j", "block", "id", "weight", "text")
     names = ["id", "root", "n_links"]
 
     def flush(group: list[tuple]) -> tuple:
-        block, ids, weights, sets = zip(*group, strict=True)
+        block, ids, weights, texts = zip(*group, strict=True)
         block, ids, weights = np.array(block), np.array(ids), np.array(weights)
+        runs, own = exact_sets(pa.array(texts, pa.large_string()), words)
+        cut = np.searchsorted(own, np.arange(len(ids) + 1))
 
         def side(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-            mine = [np.frombuffer(sets[k], dtype="<u8") for k in chosen]
+            mine = [runs[cut[k] : cut[k + 1]] for k in chosen.tolist()]
             return np.concatenate(mine), np.repeat(np.arange(len(mine)), [len(x) for x in mine]), len(mine)
 
         links = np.zeros((len(ids), len(ids)), dtype=bool)
@@ -290,31 +383,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
     between their sets of word runs.
 
     Returns a row for each input row: doc_id, class_id (least doc_id of its class), n_links (other documents that it is
-    linked to, copies of its own set among them), copy_of (least doc_id with the same set) and n_copies. Documents with equal sets
-    are compared once, as one. Every pair within a candidate group is compared exactly; a pair of likeness 0.8 fails to
-    share a group with probability 1 - recall at most. Null texts count as empty; texts without words are alike to
-    none; rows with a null doc_id are in no class (class_id null) and rows that repeat a doc_id share one. Pairs are counted where they
-    are found and never become rows.
+    linked to, those of the same words among them), copy_of (least doc_id with the same words) and n_copies. Documents of
+    the same words are compared once, as one. Candidates share a prefix in some tree and are not far apart by their
+    sketches; all pairs of a group that candidates connect are then compared by their words. A pair of likeness 0.8 fails
+    to share a prefix with probability 1 - recall at most. Null texts count as empty; texts without words are alike to
+    none; rows with a null doc_id are in no class (class_id null) and rows that repeat a doc_id share one. Pairs are
+    counted where they are found and never become rows.
     """
     signed = written(signatures(docs, words), "signatures")
     known = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    sets = written(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min_by("labels", "doc_id").alias("labels")), "sets")
-    roots = components(forest_edges(sets.select("id", "labels"), depth_for(threshold, recall)))
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    groups = hot_lookup(roots.withColumn("key", F.col("root").cast("string")), sizes.select(F.col("root").cast("string").alias("key"), "size"), "key", "size", roots.count())
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    groups = groups.select("id", F.col("root").alias("comp"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    groups = groups.join(sets.groupBy("id").agg(F.sum("n_copies").alias("weight")), "id")
-
-    def sets_of(batch: pa.RecordBatch) -> dict:
-        hashes, own = shingle_sets(batch.column(5), words)
-        cut = np.searchsorted(own, np.arange(batch.num_rows + 1))
-        data = hashes.astype("<u8")
-        return {n: batch.column(i) for i, n in enumerate(("id", "comp", "blocks", "block", "weight"))} | {"sets": [data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups, "id").select("id", "comp", "blocks", "block", "weight", "text")
-    rows = map_batches(texts, sets_of, "id long, comp long, blocks int, block int, weight long, sets binary")
-    found = written(compare_groups(rows, threshold), "links")
+    one = F.min_by(F.struct("labels", "sketch", "n_bytes"), "doc_id").alias("one")
+    sets = written(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), one).select("set_key", "id", "n_copies", "one.*"), "sets")
+    roots = components(forest_edges(sets.select("id", "labels", "sketch"), depth_for(threshold, recall), least_agreement(threshold)))
+    members = written(roots.join(sets.groupBy("id").agg(F.sum("n_copies").alias("weight"), F.sum("n_bytes").alias("n_bytes")), "id"), "members")
+    sizes = members.groupBy(F.col("root").cast("string").alias("key")).agg(F.count("*").alias("size"), F.sum("n_bytes").alias("bytes"))
+    groups = hot_lookup(members.withColumn("key", F.col("root").cast("string")), sizes, "key", "size", members.count())
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    groups = groups.select("id", F.col("root").alias("comp"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "weight")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(groups, "id").select("id", "comp", "blocks", "block", "weight", "text")
+    found = written(compare_groups(texts, threshold, words), "links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"), F.count("*").alias("n"))
     settled = links.where("n = 1 AND n_links > 0").select("id", "root")
     apart = found.join(links.where("n > 1").select("id"), "id", "left_semi").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
@@ -331,9 +418,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
 
 
 def keep_one_a_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows that lead their class (least doc_id, then text hash) or are in none, with all their columns. Rows that
-    repeat a doc_id with different texts are judged each by its own text; those with a null doc_id are in no class."""
-    rows, _ = keyed(docs.where("doc_id IS NOT NULL"))
-    dropped = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_key"))
-    kept = rows.join(dropped, "_key", "left_anti").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class and all rows in none, with all their columns: the least doc_id stays, nulls first, then the
+    least text hash. Every row is judged by its own text; of rows that repeat both doc_id and text one stays."""
+    rows, plain = keyed(docs)
+    rows = rows if plain else rows.dropDuplicates(["key"])
+    dropped = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), **options).where("class_id <> doc_id").select(F.col("doc_id").alias("key"))
+    return unpacked(rows.join(dropped, "key", "left_anti"), docs.columns)

@@ -171,6 +171,18 @@ def test_near_duplicates(spark, none, monkeypatch, block):
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).repartition(3)
     got, links = by_id(minhash_forest.near_duplicates(df)), jaccard_links(rows)
+    want = brute_classes(rows, links)
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == want
+    assert {r.doc_id for r in minhash_forest.keep_one_a_class(df).collect()} == {top for top, _ in want.values()}
+
+
+def test_near_duplicates_odd(odd, none, docs):
+    assert minhash_forest.near_duplicates(none).count() == 0
+    assert {(r.doc_id, r.class_id) for r in minhash_forest.near_duplicates(odd).collect()} == {(1, 1), (2, 2), (None, None)}
+    assert minhash_forest.near_duplicates(docs).count() == docs.count()
+
+
+def brute_classes(rows, links):
     degree, up = Counter(), {i: i for i, _ in rows}
 
     def top(x):
@@ -182,14 +194,59 @@ def test_near_duplicates(spark, none, monkeypatch, block):
         degree[a] += 1
         degree[b] += 1
         up[max(top(a), top(b))] = min(top(a), top(b))
-    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (top(i), degree[i]) for i, _ in rows}
-    assert {r.doc_id for r in minhash_forest.keep_one_a_class(df).collect()} == {top(i) for i, _ in rows}
-
-
-def test_near_duplicates_odd(odd, none, docs):
-    assert minhash_forest.near_duplicates(none).count() == 0
-    assert {(r.doc_id, r.class_id) for r in minhash_forest.near_duplicates(odd).collect()} == {(1, 1), (2, 2), (None, None)}
-    assert minhash_forest.near_duplicates(docs).count() == docs.count()
+    return {i: (top(i), degree[i]) for i, _ in rows}
+
+
+def test_words_that_hash_alike_are_told_apart(spark):
+    """Two words of 22 letters that a polynomial hash of a fixed base cannot tell apart, repeated: likeness 0."""
+    words = [t[-22:] for t in TWINS]
+    rows = [(1, " ".join([words[0]] * 18)), (2, " ".join([words[1]] * 18)), (3, " ".join(["x", *[words[0]] * 18])), (4, " ".join([words[0]] * 17))]
+    got = {i: (r.class_id, r.n_links, r.n_copies) for i, r in by_id(minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == {1: (1, 1, 1), 2: (2, 0, 1), 3: (3, 0, 1), 4: (1, 1, 1)}
+
+
+def test_exact_sets():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("ab é", k=rng.randrange(9))) for _ in range(60)] + [" \n", "", "a b", "a\tb\x0c a", None]
+    runs, own = minhash_forest.exact_sets(pa.array(texts), 3)
+    mine = [set(runs[own == k].tolist()) for k in range(len(texts))]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            x, y = ({tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set() for w in ((t or "").encode().split() for t in (a, b)))
+            assert len(mine[i] & mine[j]) == len(x & y) and len(mine[i]) == len(x)
+
+
+def test_links_in_groups_connect_all_that_agree():
+    rng = np.random.default_rng(6)
+    group, kind = np.sort(rng.integers(0, 40, 600)), rng.integers(0, 4, 600)
+    base = rng.integers(0, 1 << 63, (4, 3), dtype=np.uint64)
+    sketch = base[kind] ^ (np.uint64(1) << rng.integers(0, 63, (600, 3), dtype=np.uint64))
+    for sure in (np.zeros(600, bool), group == 7):
+        a, b = minhash_forest.links_in_groups(group, np.arange(600), sketch, 170, sure)
+        assert (group[a] == group[b]).all() and ((kind[a] == kind[b]) | sure[a]).all()
+        classes = brute_classes([(i, None) for i in range(600)], list(zip(a.tolist(), b.tolist())))
+        want = defaultdict(set)
+        for i in range(600):
+            want[(group[i], -1 if sure[i] else kind[i])].add(classes[i][0])
+        assert all(len(x) == 1 for x in want.values())
+
+
+def test_recall_on_whole_documents(spark):
+    """Against all pairs of the 1,000 documents of sf0.01: no link and no class is lost or made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    owners, sets, links = defaultdict(list), {}, []
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        both = Counter(j for s in sets[i] for j in owners[s])
+        links += [(j, i) for j, n in both.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+        for s in sets[i]:
+            owners[s].append(i)
+    got = {i: (r.class_id, r.n_links) for i, r in by_id(minhash_forest.near_duplicates(docs)).items()}
+    want = brute_classes(rows, links)
+    found = sum(got[i][1] for i, _ in rows)
+    assert len(links) > 50 and found >= 0.9 * 2 * len(links) and all(got[i][1] <= want[i][1] for i, _ in rows) and got == want
 
 
 def test_depth_reaches_recall():
@@ -310,6 +367,54 @@ def test_suffix_dedup(docs, rows, none, match):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+#: Two strings of 100 bytes that a polynomial hash modulo 2 ** 64 of a fixed base cannot tell apart.
+TWINS = [" vgjjspqmsbphxzmnvflrwyvxlcovqdyfq mlpxapbjwtssmuffqhaygrrhmqlsloivrtxamz xqze" + t for t in ("mmmmmmmmmmmmmmmmmmmmmm", "opmlqklnmrokkojilmlkok")]
+
+
+def hot_rows():
+    """One line in most documents, each time between other words, and one long passage in some."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, passage = noise(110), noise(400)
+    return [(i, noise(rng.randrange(90)) + (passage if i % 5 == 0 else line) + noise(rng.randrange(150)) + (line if i % 7 == 0 else "")) for i in range(80)]
+
+
+def counts_of(df):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
+
+
+def test_twins_of_a_polynomial_hash_stay(spark):
+    got = counts_of(suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(TWINS)), "doc_id long, text string")))
+    assert [got[i][:3] for i in (0, 1)] == [(100, 0, 0)] * 2
+
+
+@pytest.mark.parametrize("constant", [False, True])
+@pytest.mark.parametrize("split", [3, 40, 2048])
+def test_hot_groups_are_split_and_hashes_decide_nothing(spark, monkeypatch, constant, split):
+    """split: different stretches that are sorted together; with a constant hash all stretches share one group."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # workers see what is patched here
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 2)
+    if constant:
+        monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * np.uint64(0))
+    try:
+        rows = hot_rows() + [(100 + i, t) for i, t in enumerate(TWINS)]
+        assert counts_of(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute_repeats(rows, 100)
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
+def test_classes_hold_all_places():
+    data = np.frombuffer(random.Random(2).randbytes(600), np.uint8)
+    first, sizes, off, _ = suffix_dedup.stretches(data, np.array([0, 600]))
+    for width in (9, 1, 69):
+        owner, f, n, o, group = suffix_dedup.classes_of(data, first, sizes, off, width, 100)
+        places = [p for a, k in zip(f, n) for p in range(a, a + k)]
+        assert sorted(places) == list(range(501)) and (f + o == (first + off)[owner]).all() and len(set(group)) == len(group)
+
+
 def test_suffix_dedup_odd_ids(spark):
     made = spark.createDataFrame([(1, "x" * 300), (1, "x" * 300), (None, "y" * 150), (2, "y" * 150), (2, ""), (3, "é" * 120)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(made).collect())
@@ -330,14 +435,29 @@ def test_cut_repeats_keeps_odd_ids(spark):
 
 
 def test_dropping_copies_judges_rows(spark):
-    """A row goes for its own text, not for that of another row of its doc_id; null ids are told as well."""
+    """A row goes for its own text, not for that of another row of its doc_id; null ids are told as well, and of equal rows
+    one stays."""
     a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "pq")
-    rows = [(1, a), (1, b), (2, a), (None, a), (None, "alone")]
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, a), (None, "alone"), (None, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, chunk_dedup.drop_copies(docs).collect())) == Counter([(1, b), (2, a), (None, "alone")])
-    rows = [(1, a), (3, f"{a} more"), (3, b), (None, a)]
+    rows = [(1, a), (3, f"{a} more"), (3, b), (3, b), (4, None), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, minhash_forest.keep_one_a_class(docs).collect())) == Counter([(1, a), (3, b), (None, a)])
+    assert Counter(map(tuple, minhash_forest.keep_one_a_class(docs).collect())) == Counter([(1, a), (3, b), (4, None), (5, None)])
+    docs = spark.createDataFrame([*rows, (None, a), (None, a)], "doc_id long, text string")
+    assert Counter(map(tuple, minhash_forest.keep_one_a_class(docs).collect())) == Counter([(None, a), (3, b), (4, None), (5, None)])
+
+
+CLASHING = ["_key", "_id", "_fitted", "_kept", "_log_weight", "_text", "key", "rest", "id", "of", "kept", "sha", "root", "selected", "class_id", "group", "place", "chosen", "value"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    texts = ["the river runs past the old mill and on to the sea " * 4, None, "", "a short text"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.concat(F.lit(c), "doc_id") for c in CLASHING})
+    labels = spark.createDataFrame([(0, True), (3, True)], "doc_id long, target boolean")
+    for stage in (chunk_dedup.drop_copies, minhash_forest.keep_one_a_class, suffix_dedup.cut_repeats, lambda d: importance_resampling.keep_selected(d, labels)):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in CLASHING)
 
 
 # ---- 10 packing
