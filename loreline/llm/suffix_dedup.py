@@ -100,22 +100,23 @@ def place_of(first: np.ndarray, sizes: np.ndarray, off: np.ndarray) -> np.ndarra
 #: Stretches a task holds before it sends them on.
 HELD = 4_000_000
 
-_ROW = "group long, content long, content2 long, key long, place long, copy boolean, route long"
-_NAMES = ["group", "content", "content2", "key", "place", "copy", "route"]
+_ROW = "group long, content long, content2 long, key long, place long, copy boolean"
+_NAMES = ["group", "content", "content2", "key", "place", "copy"]
 
 
 def _sent(rows: list[np.ndarray]) -> tuple[list[pa.Array], np.ndarray]:
     """Columns of _NAMES for rows (group, content, content2, key, place) in order, and that order.
 
-    Of stretches that a task sees twice only the earliest can be the earliest of all; the others are copies already.
-    route is the group, or for copies a hash that spreads them, so that however popular a stretch is, a task sends one of it.
+    Of stretches that a task sees twice only the earliest can be the earliest of all; the others are copies already, and
+    need no group and content. However popular a stretch is, a task sends one of it to its group.
     """
     order = np.lexsort((rows[4], rows[3], rows[2], rows[1]))
     rows = [x[order] for x in rows]
     first = np.ones(len(order), dtype=bool)
     first[1:] = (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]) | (rows[0][1:] != rows[0][:-1])
-    route = np.where(first, rows[0], mix((rows[3] * 31 + rows[4]).view(np.uint64)).view(np.int64))
-    return [*[pa.array(x) for x in rows], pa.array(~first), pa.array(route)], order
+    for k in range(3):
+        rows[k][~first] = 0
+    return [*[pa.array(x) for x in rows], pa.array(~first)], order
 
 
 def popular_grams(docs: DataFrame, match: int) -> list[int]:
@@ -180,7 +181,7 @@ def _judge(found: DataFrame, extra: list[str]) -> DataFrame:
             n = batch.num_rows
             rows = pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 3, 4, 5, *range(6, 6 + len(extra)))], names=names)
             copy = batch.column(5).to_numpy(zero_copy_only=False)
-            settled = int(copy.sum())  # copies stand first
+            settled = int(copy.sum())  # they stand first
             if settled:
                 yield rows.slice(0, settled)
             if settled == n:
@@ -209,7 +210,8 @@ def _judge(found: DataFrame, extra: list[str]) -> DataFrame:
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("copy").desc(), "group", "content", "content2", "key", "place"]
-    dealt = found.repartition(parts, "route").sortWithinPartitions(*order).select(*_NAMES[:-1], *extra)
+    route = F.when(F.col("copy"), F.xxhash64("key", "place")).otherwise(F.col("group"))  # copies go anywhere
+    dealt = found.repartition(parts, route).sortWithinPartitions(*order).select(*_NAMES, *extra)
     return dealt.mapInArrow(tidy(run), ", ".join(["group long, key long, place long, copy boolean", *[f"{x} binary" for x in extra]]))
 
 
@@ -291,7 +293,7 @@ def _shards(segments: DataFrame, match: int, width: int) -> DataFrame:
             shard.clear()
             nothing, n = pa.nulls(len(found), pa.int64()), len(found)
             key, place = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([nothing, nothing, nothing, key, place, pa.array([True] * n, pa.bool_()), nothing, pa.nulls(n, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([nothing, nothing, nothing, key, place, pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.binary())], names=names)
 
         def split() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(parts_of(group, width, match), names=names)
