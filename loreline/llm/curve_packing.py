@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import joined_bytes, map_batches, run_hashes, tidy, written
+from loreline.llm.common import joined_bytes, map_batches, parts_for, run_hashes, tidy, written
 from loreline.llm.tokenizer_files import encode_texts, load_tokenizer
 
 DIMS, BITS = 4, 10
@@ -139,5 +139,5 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -
         out, k = rows(cut(held, length), k)
         yield out
 
-    dealt = coded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    dealt = coded.repartitionByRange(parts_for(coded, "ids"), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return dealt.select("doc_id", "ids").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))

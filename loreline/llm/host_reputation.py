@@ -11,8 +11,8 @@ from loreline.llm.common import hot_lookup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Registries that sell names one label further down; a parameter, extend it with a public list.
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Suffixes of several labels under which registries sell names, where a caller gives no list of its own (read_suffixes).
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 
 
 @dataclass(frozen=True)
@@ -51,37 +51,55 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def suffix_of(host: Column) -> Column:
-    """The part that a registry sells names under: the last label, or two of SECOND_LEVEL."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(host, ".", -1))
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """Suffixes of two labels and more from a file in the format of the public suffix list: one a line, // before remarks.
+    Lines with a wildcard or an exception are left out."""
+    with open(path, encoding="utf-8") as lines:
+        found = (line.split() for line in lines)
+        return tuple(w[0].lower() for w in found if w and "." in w[0] and w[0][0] not in "/*!")
 
 
-def domain_of(host: Column) -> Column:
+def _labels(host: Column, suffixes: tuple[str, ...], more: int) -> Column:
+    """The longest of suffixes that host ends with, else its last label, and so many labels more."""
+    out = F.substring_index(host, ".", -1 - more)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        fits = F.substring_index(host, ".", -n).isin([s for s in suffixes if s.count(".") + 1 == n])
+        out = F.when(fits, F.substring_index(host, ".", -n - more)).otherwise(out)
+    return out
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The part that a registry sells names under."""
+    return _labels(host, suffixes, 0)
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The registered domain: the suffix and one label more, or the host where there is none."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(two)
+    return _labels(host, suffixes, 1)
 
 
 def concentration(groups: DataFrame) -> float:
-    """Strength of the beta prior above groups (columns n, good), by moments of the beta-binomial.
+    """Strength of the beta prior that a parent gives its groups (columns parent, n, good), by moments of the beta-binomial:
+    the spread of groups around the rate of their own parent, beyond what binomial chance gives, over all parents.
 
-    One row of sums comes to the driver. Without two groups, or variance beyond the binomial, groups count as alike and
-    the strength is the largest allowed, 1000; it is never under 1.
+    One row of sums comes to the driver. Without parents of two groups, or such spread, groups count as alike and the
+    strength is the largest allowed, 1000; it is never under 1.
     """
-    g = groups.where("n > 0").agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("y"),
+    of = groups.where("n > 0").groupBy("parent").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum("good") / F.sum("n")).alias("p"),
         F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("y2"),
-    ).first()
-    if not g.k or g.k < 2 or g.y in (0, g.n):
+    )
+    chance = F.col("p") * (1 - F.col("p"))
+    s = of.agg(
+        F.sum(F.col("y2") - F.col("n") * F.col("p") * F.col("p") - chance * (F.col("k") - 1)).alias("between"),
+        F.sum(chance * (F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1))).alias("most"),
+    ).first()
+    if not s.most or s.most <= 1e-9:
         return 1000.0
-    p = g.y / g.n
-    between = (g.y2 - g.n * p * p - p * (1 - p) * (g.k - 1)) / max(g.n - g.n2 / g.n - (g.k - 1), 1e-9)
-    rho = min(max(between / (p * (1 - p)), 1 / 1001), 0.5)
-    return 1 / rho - 1
+    return 1 / min(max(s.between / s.most, 1 / 1001), 0.5) - 1
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, min_good: float = 0.5) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, min_good: float = 0.5, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """One row a host: host, n_pages, n, good, mean, upper and verdict.
 
     pages: host, page_id; outcomes: page_id, good (boolean; rows repeated for a page count as good if all are). The
@@ -94,14 +112,14 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, min
     hosts = (
         pages.select("page_id", F.coalesce("host", F.lit("")).alias("host")).join(labels, "page_id", "left")
         .groupBy("host").agg(F.count("*").alias("n_pages"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        .withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     )
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    every = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    registries = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    every = registries.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     base = every.good / every.n if every.n else 0.5
-    ks, kd, kh = (concentration(x) for x in (suffixes, domains, hosts))
-    of_suffix = suffixes.select("suffix", ((F.col("good") + ks * base) / (F.col("n") + ks)).alias("mean_suffix"))
+    ks, kd, kh = (concentration(x.withColumn("parent", p)) for x, p in ((registries, F.lit("")), (domains, F.col("suffix")), (hosts, F.col("domain"))))
+    of_suffix = registries.select("suffix", ((F.col("good") + ks * base) / (F.col("n") + ks)).alias("mean_suffix"))
     of_domain = domains.join(of_suffix, "suffix").select("domain", ((F.col("good") + kd * F.col("mean_suffix")) / (F.col("n") + kd)).alias("mean_domain"))
     a, b = F.col("good") + kh * F.col("mean_domain"), F.col("n") - F.col("good") + kh * (1 - F.col("mean_domain"))
     mean = a / (a + b)
@@ -111,7 +129,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, min
     )
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], z: float = 1.645, min_good: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], z: float = 1.645, min_good: float = 0.5, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Verdict on every row of pages (page_id, url; further columns are ignored).
 
     Returns page_id, host, path, rule (text of the longest fitting rule, else null), verdict (the rule's action, else
@@ -121,7 +139,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], z: flo
     action = F.create_map(*[F.lit(x) for r in rules for x in (r.text, r.action)]) if rules else None
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    hosts = host_reputation(judged, outcomes, z, min_good).select("host", "n_pages", F.col("mean").alias("good_rate"), F.col("upper").alias("upper_bound"), F.col("verdict").alias("by_host"))
+    hosts = host_reputation(judged, outcomes, z, min_good, suffixes).select("host", "n_pages", F.col("mean").alias("good_rate"), F.col("upper").alias("upper_bound"), F.col("verdict").alias("by_host"))
     out = hot_lookup(judged, hosts, "host", "n_pages", pages.count())
     ruled = F.element_at(action, F.col("rule")) if rules else F.lit(None).cast("string")
     return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), ruled).otherwise(F.col("by_host")).alias("verdict"), "good_rate", "upper_bound")

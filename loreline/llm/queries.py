@@ -104,18 +104,17 @@ ORACLE_SQL = {
             GROUP BY ALL
         ), l AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id
         ), h AS (
-            SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, split_part(host, '.', -1) AS s,
-                   CASE WHEN strpos(host, '.') > 0 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS d
-            FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY host
+            SELECT host, n, good, array_to_string(x[greatest(len(x) - k + 1, 1):], '.') AS s, array_to_string(x[greatest(len(x) - k, 1):], '.') AS d
+            FROM (SELECT *, CASE WHEN array_to_string(x[greatest(len(x) - 1, 1):], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za') THEN 2 ELSE 1 END AS k
+                  FROM (SELECT host, string_split(host, '.') AS x, count(good) AS n, coalesce(sum(good), 0) AS good FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY host))
         ), d AS (SELECT d, s, sum(n) AS n, sum(good) AS good FROM h GROUP BY d, s
         ), s AS (SELECT s, sum(n) AS n, sum(good) AS good FROM h GROUP BY s
         ), sums AS (
-            SELECT lvl, count(*) AS k, sum(n) AS n, sum(good) AS y, sum(n * n) AS n2, sum(good * good / n) AS y2
-            FROM (SELECT 'h' AS lvl, n, good FROM h UNION ALL SELECT 'd', n, good FROM d UNION ALL SELECT 's', n, good FROM s) WHERE n > 0 GROUP BY lvl
+            SELECT lvl, parent, count(*) AS k, sum(n) AS n, sum(good) / sum(n) AS p, sum(n * n) AS n2, sum(good * good / n) AS y2
+            FROM (SELECT 'h' AS lvl, d AS parent, n, good FROM h UNION ALL SELECT 'd', s, n, good FROM d UNION ALL SELECT 's', '', n, good FROM s) WHERE n > 0 GROUP BY lvl, parent
+        ), spread AS (SELECT lvl, sum(y2 - n * p * p - p * (1 - p) * (k - 1)) AS between_, sum(p * (1 - p) * (n - n2 / n - (k - 1))) AS most FROM sums GROUP BY lvl
         ), strength AS (
-            SELECT lvl, CASE WHEN k < 2 OR y = 0 OR y = n THEN 1000.0 ELSE
-                1 / least(greatest((y2 - n * (y / n) * (y / n) - (y / n) * (1 - y / n) * (k - 1)) / greatest(n - n2 / n - (k - 1), 1e-9) / ((y / n) * (1 - y / n)), 1 / 1001.0::DOUBLE), 0.5) - 1 END AS c
-            FROM sums
+            SELECT lvl, CASE WHEN most > 1e-9 THEN 1 / least(greatest(between_ / most, 1 / 1001.0::DOUBLE), 0.5) - 1 ELSE 1000.0 END AS c FROM spread
         ), k AS (
             SELECT (SELECT c FROM strength WHERE lvl = 'h') AS kh, (SELECT c FROM strength WHERE lvl = 'd') AS kd, (SELECT c FROM strength WHERE lvl = 's') AS ks,
                    (SELECT sum(good) / sum(n) FROM h) AS base

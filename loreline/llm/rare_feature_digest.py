@@ -12,11 +12,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import mix, powers
+from loreline.llm.common import joined_bytes, mix, parts_for, pieces_of, powers, text_of, tidy
 
 #: Bytes of a feature; positions that compete; least wins of a feature; features of a filter; bits of a filter; bits set by a feature.
 WINDOW, SPAN, LEAST_WINS, PER_FILTER, FILTER_BITS, PROBES = 64, 64, 16, 160, 2048, 5
 
+#: Windows of less entropy (thousandths) are runs and rules that say nothing of a text.
+WEAK = 100
+
 _SCALE = 1 << 20
 _C_LOG_C = np.array([0] + [round(c * np.log2(c) * _SCALE) for c in range(1, WINDOW + 1)], dtype=np.int64)
 
@@ -46,31 +49,43 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return (6 * WINDOW * _SCALE - sums) * 1000 // (6 * WINDOW * _SCALE)
 
 
-def rarity() -> np.ndarray:
-    """Rank of each entropy, least first. Typical text has windows of middling entropy; both ends count as improbable, but
-    windows of next to no entropy (runs and rules) say nothing of a text and come last."""
-    e = np.arange(1001)
-    rank = 1000 - np.abs(e - 690)
-    rank[e < 250] = 1500 - e[e < 250]
-    return rank.astype(np.int64)
+def entropy_counts(docs: DataFrame) -> np.ndarray:
+    """How many windows of all texts have each entropy; one row an entropy comes to the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1001, dtype=np.int64)
+        for batch in batches:
+            for part in pieces_of(batch, 0, BLOCK):
+                data, at = joined_bytes(part.column(0))
+                for low in range(0, max(len(data) - WINDOW + 1, 0), 4 * BLOCK):
+                    found = entropies(data[low : low + 4 * BLOCK + WINDOW - 1])
+                    inside = np.arange(low, low + len(found)) + WINDOW <= at[np.searchsorted(at, np.arange(low, low + len(found)), side="right")]
+                    total += np.bincount(found[inside], minlength=1001)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1001)), pa.array(total)], names=["entropy", "n"])
+
+    found = docs.select("text").mapInArrow(tidy(run), "entropy long, n long").groupBy("entropy").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(1001, dtype=np.int64)
+    for r in found:
+        out[r.entropy] = r.n
+    return out
 
-_RARITY = rarity()
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Rank of each entropy, rarest first, by how many windows of the corpus have it; of equals the lesser first. Weak
+    entropies come last, the least at the very end."""
+    order = np.lexsort((np.arange(1001), counts))
+    rank = np.empty(1001, dtype=np.int64)
+    rank[order] = np.arange(1001)
+    rank[:WEAK] = 1001 + np.arange(WEAK, 0, -1)
+    return rank
 
-def features_of(data: np.ndarray, at: np.ndarray, least: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the selected features of texts joined in data (offsets at), in order.
 
-    Of every 64 neighbouring windows the rarest wins, the leftmost of equals; windows that win at least 16 times are
-    selected. least: a text in which none does selects the window with most wins, or its rarest where nothing could win.
-    """
-    n = len(data)
-    if n < WINDOW:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    rank = _RARITY[entropies(data)]
-    m = len(rank)
-    last = at[1:] - WINDOW  # last window start of each text
-    owner_end = np.repeat(last, np.diff(at))[:m]
+def contest(data: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every 64 neighbouring windows of a text the rarest wins, the leftmost of equals: wins and key (rank, then place)
+    of each window of texts joined in data (offsets at). Windows that cross a text's end have the largest keys."""
+    m = len(data) - WINDOW + 1
+    rank = ranks[entropies(data)]
+    owner_end = np.repeat(at[1:] - WINDOW, np.diff(at))[:m]  # last window start of each text
     rank[np.arange(m) > owner_end] = 1 << 20
     key = (rank << 32) | np.arange(m)
     best = key.copy()
@@ -78,20 +93,36 @@ def features_of(data: np.ndarray, at: np.ndarray, least: bool = True) -> tuple[n
     while step < SPAN:
         best[:-step] = np.minimum(best[:-step], best[step:])
         step *= 2
-    contest = np.arange(m) + SPAN - 1 <= owner_end
-    wins = np.bincount(best[contest] & 0xFFFFFFFF, minlength=m)
+    valid = np.arange(m) + SPAN - 1 <= owner_end
+    return np.bincount(best[valid] & 0xFFFFFFFF, minlength=m), key
+
+
+def window_hashes(data: np.ndarray, where: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
+    back = powers(len(data) + 1, pow(int(powers(2)[1]), -1, 1 << 64))
+    return mix((sums[where + WINDOW] - sums[where]) * back[where])
+
+
+def features_of(data: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the selected features of texts joined in data (offsets at), in order.
+
+    Windows that win at least 16 times are selected. A text in which none does selects the window with most wins, or its
+    rarest where nothing could win; the leftmost of equals.
+    """
+    if len(data) < WINDOW:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    wins, key = contest(data, at, ranks)
+    last = at[1:] - WINDOW
     chosen = wins >= LEAST_WINS
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[:m]
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(wins)]
     has = np.zeros(len(at) - 1, dtype=bool)
     has[owner[chosen]] = True
-    for t in np.flatnonzero(~has & (last >= at[:-1])).tolist() if least else ():
+    for t in np.flatnonzero(~has & (last >= at[:-1])).tolist():
         w = wins[at[t] : last[t] + 1]
         chosen[at[t] + int(w.argmax() if w.any() else key[at[t] : last[t] + 1].argmin())] = True
     where = np.flatnonzero(chosen)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
-    back = powers(n + 1, pow(int(powers(2)[1]), -1, 1 << 64))
-    return where, mix((sums[where + WINDOW] - sums[where]) * back[where])
+    return where, window_hashes(data, where)
 
 
 def filters_of(hashes: np.ndarray) -> np.ndarray:
@@ -134,19 +165,28 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return total / len(a)
 
 
-def long_features(text: bytes) -> np.ndarray:
-    """Hashes of the features of a text taken in parts, each with the bytes that decide on its features on both sides."""
-    found = []
+def long_features(text: bytes, ranks: np.ndarray) -> np.ndarray:
+    """The same for one text taken in parts, each with the bytes that decide on its features on both sides."""
+    found, most = [], (0, None)
     for a in range(0, len(text), BLOCK):
         low, high = max(0, a - SPAN), min(len(text), a + BLOCK + WINDOW + SPAN)
+        if high - low < WINDOW:
+            continue
         data = np.frombuffer(text, dtype=np.uint8, count=high - low, offset=low)
-        where, hashes = features_of(data, np.array([0, len(data)]), least=False)
-        found.append(hashes[(where + low >= a) & (where + low < a + BLOCK)])
+        wins, _ = contest(data, np.array([0, len(data)]), ranks)
+        mine = np.arange(low, low + len(wins))
+        mine = (mine >= a) & (mine < a + BLOCK)
+        found.append(window_hashes(data, np.flatnonzero(mine & (wins >= LEAST_WINS))))
+        top = int(np.where(mine, wins, -1).argmax())
+        if wins[top] > most[0]:
+            most = int(wins[top]), low + top
     hashes = np.concatenate(found)
-    return hashes if len(hashes) else features_of(np.frombuffer(text, dtype=np.uint8, count=WINDOW), np.array([0, WINDOW]))[1]
+    if len(hashes):
+        return hashes
+    return window_hashes(np.frombuffer(text, dtype=np.uint8, count=WINDOW, offset=most[1]), np.zeros(1, dtype=np.int64))
 
 
-def digests(texts: list[bytes]) -> list[np.ndarray]:
+def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     """The filters of each text. Texts under 64 bytes are padded with zero bytes to one window; empty ones have none."""
     out: list[np.ndarray] = [np.zeros((0, FILTER_BITS), dtype=np.uint8)] * len(texts)
     group: list[int] = []
@@ -157,7 +197,7 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
         if group:
             padded = [texts[i].ljust(WINDOW, b"\0") for i in group]
             at = np.concatenate([[0], np.cumsum([len(x) for x in padded])])
-            where, hashes = features_of(np.frombuffer(b"".join(padded), dtype=np.uint8), at)
+            where, hashes = features_of(np.frombuffer(b"".join(padded), dtype=np.uint8), at, ranks)
             cuts = np.searchsorted(where, at)
             for i, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
                 out[i] = filters_of(hashes[a:b])
@@ -165,7 +205,7 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
 
     for i, t in enumerate(texts):
         if len(t) > 2 * BLOCK:
-            out[i] = filters_of(long_features(t))
+            out[i] = filters_of(long_features(t, ranks))
         elif t:
             group.append(i)
             size += max(len(t), WINDOW)
@@ -178,7 +218,7 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
 def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, doc_id, text, head), each part sorted by doc_id and text; the first row of every part stands also,
     as head, at the end of the part before. One part's successor is known without a task that sees all rows."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     ids = docs.select("doc_id")
     marks = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     cut = Bucketizer(splits=[-float("inf"), *marks, float("inf")], inputCol="_at", outputCol="_part") if marks else None
@@ -205,10 +245,12 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by doc_id; the first follows the last. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. Null texts count as empty; rows that repeat a doc_id follow one another by
-    text; null doc_ids come first; a single document follows itself; no documents give no rows. Texts cross one shuffle
-    in ranges of doc_id, four a partition, and are read in order, two at a time; one row a range comes to the driver.
+    text; null doc_ids come first; a single document follows itself; no documents give no rows. Entropies of all windows
+    are counted first; how rare a window's entropy is decides which features are selected. Texts then cross one shuffle
+    in ranges of doc_id, four a partition of 64 MB, and are read in order, two at a time; one row a range comes to the driver.
     """
-    dealt_to = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_to = parts_for(docs, "text")
+    ranks = rarity(entropy_counts(docs))
     rows = _neighbours(docs, 4 * dealt_to)
 
     def one(current: tuple[int, str, bytes, np.ndarray], following: tuple[int, str, bytes, np.ndarray]) -> tuple:
@@ -225,14 +267,14 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
                 texts = piece.column(2).to_pylist()
                 coded = [t.encode("utf-8", "surrogatepass") for t in texts]
                 todo = []
-                for p, doc, head, text, raw, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(3).to_pylist(), texts, coded, digests(coded), strict=True):
+                for p, doc, head, text, raw, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(3).to_pylist(), texts, coded, digests(coded, ranks), strict=True):
                     now = (doc, text, raw, own)
                     if last is not None and part == p:
                         todo.append(one(last, now))
                     last, part = (None if head else now), p
                 if not todo:
                     continue
-                edited = digests([x[2] for x in todo])
+                edited = digests([x[2] for x in todo], ranks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in todo], pa.int64()), pa.array([x[1] for x in todo], pa.int64()),

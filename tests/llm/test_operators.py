@@ -1,6 +1,8 @@
 """The ten operators against brute force on odd rows, and the cases that their docstrings define."""
 
+import functools
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -78,6 +80,38 @@ def test_classifier_on_held_out_labels(spark):
     assert importance_resampling.resample(df, labels.where("doc_id < 0")).where("selected").count() == len(docs)
 
 
+def test_log_weights(spark):
+    """Against the models written out by hand: every text is left out of the counts that weigh it."""
+    rng = random.Random(7)
+    words = "ab cd ef gh ij".split()
+    rows = [(i, " ".join(rng.choices(words[: 3 + i % 3], k=rng.randrange(9)))) for i in range(60)] + [(60, None), (61, "")]
+    labels = [(i, i % 3 == 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = importance_resampling.train(docs, spark.createDataFrame(labels, "doc_id long, target boolean"))
+    fitted = {r.doc_id for r in judge.model.fitted.collect()}
+    assert 0 < len(fitted) < 20 and all(i % 3 == 0 and i < 50 for i in fitted)
+
+    def grams(t):
+        w = (t or "").split()
+        return Counter([*w, *zip(w, w[1:])])
+
+    raw, target = sum((grams(t) for _, t in rows), Counter()), sum((grams(t) for i, t in rows if i in fitted), Counter())
+    share, prior = sum(target.values()) / sum(raw.values()), importance_resampling.PRIOR
+    got = by_id(judge.judge(docs))
+    for i, t in rows:
+        mine = grams(t)
+        want = sum(n * math.log((target[g] - (n if i in fitted else 0) + prior * share) / ((raw[g] - n + prior) * share)) for g, n in mine.items())
+        assert got[i].log_weight == pytest.approx(want)
+
+
+def test_k_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, "river wind " * (1 + i % 5)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(20)], "doc_id long, target boolean")
+    out = importance_resampling.resample(docs, labels, k=7).collect()
+    best = {r.doc_id for r in sorted(out, key=lambda r: (-r.key, r.doc_id))[:7]}
+    assert {r.doc_id for r in out if r.selected} == best == {r.doc_id for r in importance_resampling.keep_selected(docs, labels, k=7).collect()}
+
+
 def test_top_k_is_exact(spark):
     rng = random.Random(1)
     keys = [(i, rng.choice([rng.random(), 0.5])) for i in range(500)]
@@ -108,16 +142,72 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(rows)], "page_id long, host string")
     out = {r.host: r for r in host_reputation.host_reputation(pages, spark.createDataFrame([(i, g) for i, (_, g) in enumerate(rows)], "page_id long, good boolean")).collect()}
     assert out["bad.two.com"].verdict == "block" and out["good0.one.com"].verdict == "allow" and out["tiny.one.com"].verdict == "allow" and 0 < out["tiny.one.com"].mean < out["good0.one.com"].mean
-    assert host_reputation.concentration(spark.createDataFrame([(5, 2)], "n long, good long")) == 1000.0
+    assert host_reputation.concentration(spark.createDataFrame([("p", 5, 2)], "parent string, n long, good long")) == 1000.0
+
+
+def test_spread_is_measured_within_the_parent(spark):
+    """Groups that differ only as their parents do are alike; groups that differ within a parent are not."""
+    rng = random.Random(3)
+    draw = lambda p, n: sum(rng.random() < p for _ in range(n))
+    alike = [(f"p{k}", 200, draw(0.1 + 0.8 * (k % 2), 200)) for k in range(10) for _ in range(20)]
+    apart = [("p", 200, draw(rng.betavariate(4, 4), 200)) for _ in range(300)]
+    made = lambda rows: spark.createDataFrame(rows, "parent string, n long, good long")
+    assert host_reputation.concentration(made(alike)) > 200 and 5.5 < host_reputation.concentration(made(apart)) < 11
+
+
+def test_suffixes(spark, tmp_path):
+    (tmp_path / "list").write_text("// remark\ncom\nco.uk\n*.ck\n!www.ck\na.b.no  more\n\n")
+    suffixes = host_reputation.read_suffixes(str(tmp_path / "list"))
+    hosts = {"x.y.co.uk": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"), "q.w.com": ("com", "w.com"), "com": ("com", "com"), "z.y.a.b.no": ("a.b.no", "y.a.b.no"), "b.no": ("no", "b.no"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", host_reputation.suffix_of(F.col("host"), suffixes).alias("s"), host_reputation.domain_of(F.col("host"), suffixes).alias("d"))
+    assert suffixes == ("co.uk", "a.b.no") and {r.host: (r.s, r.d) for r in df.collect()} == hosts
 
 
 # ---- 4 fingerprints
 
 
+class BruteDigest:
+    """The digest window by window, in plain Python."""
+
+    def __init__(self, texts):
+        counts = Counter(e for t in texts for e in self.entropies(t.encode()))
+        order = sorted(range(1001), key=lambda e: (counts[e], e))
+        self.rank = {e: k for k, e in enumerate(order)} | {e: 2000 - e for e in range(100)}
+
+    @staticmethod
+    def entropies(raw):
+        scale, out = 1 << 20, []
+        for i in range(len(raw) - 63):
+            sums = sum(round(c * math.log2(c) * scale) for c in Counter(raw[i : i + 64]).values())
+            out.append((6 * 64 * scale - sums) * 1000 // (6 * 64 * scale))
+        return out
+
+    def features(self, raw):
+        keys = [(self.rank[e], i) for i, e in enumerate(self.entropies(raw))]
+        wins = Counter(min(keys[i : i + 64])[1] for i in range(len(keys) - 63))
+        return sorted(i for i, n in wins.items() if n >= 16) or [min(wins, key=lambda i: (-wins[i], i)) if wins else min(keys)[1]]
+
+    def bits(self, raw):
+        if not raw:
+            return np.zeros((0, 2048), np.uint8)
+        raw, m, p = raw.ljust(64, b"\0"), (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+        chosen = self.features(raw)
+        out = np.zeros((-(-len(chosen) // 160), 2048), np.uint8)
+        for k, i in enumerate(chosen):
+            x = sum((b + 1) * pow(p, j, 1 << 64) for j, b in enumerate(raw[i : i + 64])) & m
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+            x ^= x >> 31
+            for probe in range(5):
+                out[k // 160, x >> 11 * probe & 2047] = 1
+        return out
+
+
 def test_fingerprints(docs, rows, none, spark):
     got = by_id(rare_feature_digest.fingerprint_neighbours(docs))
     texts, n = [t or "" for _, t, *_ in rows], len(rows)
-    one = lambda t: rare_feature_digest.digests([t.encode()])[0]
+    brute = BruteDigest(texts)
+    one = functools.cache(lambda t: brute.bits(t.encode()))
     for i, t in enumerate(texts):
         half, after, r = len(t) // 2, texts[(i + 1) % n], got[i]
         edited = t[: len(t) - half] + after[:half]
@@ -134,9 +224,10 @@ def test_fingerprints(docs, rows, none, spark):
 
 
 def test_parts_of_a_long_text_have_its_features():
-    data = bytes(random.Random(3).choices(b"abcdefgh ", k=1_200_000))
-    whole = rare_feature_digest.features_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1]
-    assert (rare_feature_digest.long_features(data) == whole).all()
+    ranks = rare_feature_digest.rarity(np.random.default_rng(1).integers(0, 99, 1001))
+    for data in (bytes(random.Random(3).choices(b"abcdefgh ", k=1_200_000)), b"x" * 1_200_000, b"ab" * 300_000 + b"abc" * 200_000, bytes(range(70, 90)) * 60_000):
+        whole = rare_feature_digest.features_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ranks)[1]
+        assert rare_feature_digest.long_features(data, ranks).tolist() == whole.tolist()
 
 
 # ---- 5 near duplicates
