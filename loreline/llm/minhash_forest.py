@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, rec
     groups = hot_lookup(members.withColumn("key", F.col("root").cast("string")), sizes, "key", "size", members.count())
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     groups = groups.select("id", F.col("root").alias("comp"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "weight")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(groups, "id").select("id", "comp", "blocks", "block", "weight", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(groups.hint("merge"), "id").select("id", "comp", "blocks", "block", "weight", "text")
     found = written(compare_groups(texts, threshold, words), "links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"), F.count("*").alias("n"))
     settled = links.where("n = 1 AND n_links > 0").select("id", "root")
