@@ -154,20 +154,25 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float
     return low
 
 
-def gumbel_top_k(weighed: DataFrame, k: int) -> DataFrame:
-    """weighed (doc_id, key) with selected: true for the k rows of the largest key.
+def among_top_k(weighed: DataFrame, k: int) -> Column:
+    """Whether a row of weighed (doc_id, key) is among the k rows of the largest key, as a condition on these columns.
 
     Rows that share the k-th key stand in the order of doc_id until k are reached; rows that share both are all
     selected. k of 0 or less selects none, k beyond the rows all.
     """
     n = weighed.count()
     if k <= 0 or k >= n:
-        return weighed.withColumn("selected", F.lit(k > 0))
+        return F.lit(k > 0)
+    order = -F.coalesce("doc_id", F.lit(0))
     cut = kth_largest(weighed, "key", k)
-    tied = weighed.where(F.col("key") == cut).select((-F.coalesce("doc_id", F.lit(0))).alias("order"))
+    tied = weighed.where(F.col("key") == cut).select(order.alias("order"))
     room = k - weighed.where(F.col("key") > cut).count()
-    last = kth_largest(tied, "order", room)
-    return weighed.withColumn("selected", (F.col("key") > cut) | ((F.col("key") == cut) & (-F.coalesce("doc_id", F.lit(0)) >= last)))
+    return (F.col("key") > cut) | ((F.col("key") == cut) & (order >= kth_largest(tied, "order", room)))
+
+
+def gumbel_top_k(weighed: DataFrame, k: int) -> DataFrame:
+    """weighed (doc_id, key) with selected, by among_top_k."""
+    return weighed.withColumn("selected", among_top_k(weighed, k))
 
 
 @dataclass(frozen=True)
@@ -200,12 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, lost: float = 0.005, seed: int = 1
     return Classifier(model, float("-inf") if cut is None else cut, seed)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None, lost: float, seed: int, columns: list[str]) -> DataFrame:
-    """columns of the judged docs, and selected, by gumbel_top_k. With k None as many are drawn as documents that training
-    expects to be like the targets: those whose key reaches its cut."""
+def draw(docs: DataFrame, labels: DataFrame, k: int | None, lost: float, seed: int) -> tuple[Classifier, DataFrame, Column]:
+    """The trained classifier, a table of doc_id, log_weight and key of all docs, and the condition of among_top_k. With k
+    None as many are drawn as documents that look like targets: those whose key reaches the classifier's cut."""
     classifier = train(docs, labels, lost, seed)
-    keys = written(classifier.judge(docs).select(*columns), "keys")
-    return gumbel_top_k(keys, keys.where(F.col("key") >= classifier.cut).count() if k is None else k)
+    keys = written(classifier.judge(docs.select("doc_id", "text")).select("doc_id", "log_weight", "key"), "keys")
+    return classifier, keys, among_top_k(keys, keys.where(F.col("key") >= classifier.cut).count() if k is None else k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, lost: float = 0.005, seed: int = 17) -> DataFrame:
@@ -217,10 +222,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, lost: flo
     them. Weights are sums over a whole text, so next to those of long texts the noise is small. Null and empty texts
     have log_weight 0; repeated rows of an id share their noise; no documents give no rows.
     """
-    return resampled(docs.select("doc_id", "text"), labels, k, lost, seed, ["doc_id", "log_weight", "key"])
+    _, keys, chosen = draw(docs, labels, k, lost, seed)
+    return keys.withColumn("selected", chosen)
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, lost: float = 0.005, seed: int = 17) -> DataFrame:
-    """The rows that resample selects, all columns as they were. Every row is judged by its own text."""
-    out = resampled(docs, labels, k, lost, seed, ["doc_id", "text", "rest", "key"])
-    return unpacked(out.where("selected"), docs.columns)
+    """The rows that resample selects, all columns as they were. Every row is judged by its own text, once to draw and once
+    more as it passes, so that no table of whole documents is kept."""
+    classifier, _, chosen = draw(docs, labels, k, lost, seed)
+    return unpacked(classifier.judge(docs).where(chosen), docs.columns)
