@@ -13,6 +13,18 @@ from pyspark.sql.types import _parse_datatype_string
 from loreline.functions import prose
 
 
+#: Bytes that a task reads by itself; a smaller table may come as fewer splits than there are cores.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to as many partitions as the cluster runs tasks, where the plan's estimate is under a full split for each:
+    work on a text is more than moving it, and a small file of one row group would be one task."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(tasks) if size < tasks * SPLIT_BYTES else rows
+
+
 def _rows(chapters: DataFrame, key: str, text: str, schema: str, fn: Callable[[str], list[tuple]]) -> DataFrame:
     """key and a row for each tuple that fn makes of the text, in Arrow batches of a few thousand rows."""
     full = f"{key} {dict(chapters.dtypes)[key]}, {schema}"
@@ -29,7 +41,7 @@ def _rows(chapters: DataFrame, key: str, text: str, schema: str, fn: Callable[[s
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return chapters.select(key, text).mapInArrow(run, full)
+    return spread(chapters.select(key, text)).mapInArrow(run, full)
 
 
 def paragraphs(chapters: DataFrame, key: str, text: str) -> DataFrame:

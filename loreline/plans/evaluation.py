@@ -27,8 +27,8 @@ def micro(w: World):
     return ev.micro_covered(c.withColumn("layer", F.when(F.col("lang").isin("en", "fr"), "a").otherwise("b")), "layer")
 
 
-def clusters(w: World, which: str = "o_orderkey < 4000"):
-    o = w.raw("orders").where(which)
+def clusters(w: World):
+    o = w.raw("orders")
     base = o.select((F.col("o_orderkey") % 50).alias("doc"), F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 10).alias("p"), (F.col("o_custkey") % 12).alias("g"))
     return base.select("doc", "item", F.col("p").alias("cluster")), base.select("doc", "item", F.col("g").alias("cluster"))
 
@@ -87,37 +87,32 @@ def relation_rows(w: World, part: int):
     return r.select(F.col("version_id").alias("id"), end.alias("source"), kind.alias("predicate"), F.col("target_id").alias("target"))
 
 
-def classes(w: World, which: str = "id % 5 = 1"):
-    return ev.claim_classes(relation_rows(w, 0), relation_rows(w, 1).where(which))
+def classes(w: World):
+    return ev.claim_classes(relation_rows(w, 0), relation_rows(w, 1))
 
 
 _RELS = """, r AS (SELECT version_id AS id, version_id % 2 AS part, CASE WHEN version_id % 2 = 0 AND version_id % 13 = 0 THEN NULL ELSE source_id END AS a,
         CASE WHEN version_id % 7 = version_id % 2 THEN 'CHILD_OF' WHEN version_id % 7 = 2 THEN 'MOTHER_OF' ELSE relationship_type END AS k, target_id AS b FROM relationship_version),
-    c AS (SELECT id, part, a AS a0, b AS b0, CASE WHEN k = 'CHILD_OF' OR (k IN ('ALLY_OF','ENEMY_OF','FRIEND_OF','MARRIED_TO') AND b < a) THEN b ELSE a END AS s, CASE WHEN k = 'CHILD_OF' THEN 'PARENT_OF' ELSE k END AS p,
-        CASE WHEN k = 'CHILD_OF' OR (k IN ('ALLY_OF','ENEMY_OF','FRIEND_OF','MARRIED_TO') AND b < a) THEN a ELSE b END AS t FROM r WHERE part = 0 OR id % 5 = 1),
-    l AS (SELECT *, CASE WHEN p IN ('FATHER_OF', 'MOTHER_OF') THEN 'PARENT_OF' ELSE p END AS lp FROM c)"""
-_ALL_RELS = """, r AS (SELECT version_id AS id, version_id % 2 AS part, CASE WHEN version_id % 2 = 0 AND version_id % 13 = 0 THEN NULL ELSE source_id END AS a,
-        CASE WHEN version_id % 7 = version_id % 2 THEN 'CHILD_OF' WHEN version_id % 7 = 2 THEN 'MOTHER_OF' ELSE relationship_type END AS k, target_id AS b FROM relationship_version),
     c AS (SELECT id, part, a AS a0, b AS b0, CASE WHEN k = 'CHILD_OF' OR (k IN ('ALLY_OF','ENEMY_OF','FRIEND_OF','MARRIED_TO') AND b < a) THEN b ELSE a END AS s, CASE WHEN k = 'CHILD_OF' THEN 'PARENT_OF' ELSE k END AS p,
         CASE WHEN k = 'CHILD_OF' OR (k IN ('ALLY_OF','ENEMY_OF','FRIEND_OF','MARRIED_TO') AND b < a) THEN a ELSE b END AS t FROM r),
     l AS (SELECT *, CASE WHEN p IN ('FATHER_OF', 'MOTHER_OF') THEN 'PARENT_OF' ELSE p END AS lp FROM c)"""
 
 
 def dangling(w: World):
-    return ev.dangling(w.mention(), "entity_id", w.entity().where("id % 3 = 0"), "id").select("mention_id", "entity_id")
+    return ev.dangling(w.mention(), "entity_id", w.entity().where("entity_type <> 'household'"), "id").select("mention_id", "entity_id")
 
 
 def duplicates(w: World):
     return ev.repeated(w.raw("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-def matched(w: World, which: str = "p_partkey < 150"):
+def matched(w: World):
     names = w.raw("part").select(F.col("p_partkey").alias("mention_id"), F.upper("p_name").alias("p_name"))
-    return ev.unique_match(names, w.raw("part").where(which).select("p_name", F.col("p_partkey").alias("key")), "p_name", "key").select("mention_id", "key", "source")
+    return ev.unique_match(names, w.raw("part").select("p_name", F.col("p_partkey").alias("key")), "p_name", "key").select("mention_id", "key", "source")
 
 
 def span_checks(w: World):
-    d = w.raw("documents").where("n_chars > 60").select("doc_id", "text", (F.col("doc_id") % 40).cast("int").alias("s"))
+    d = w.raw("documents").select("doc_id", "text", (F.col("doc_id") % 40).cast("int").alias("s"))
     end = F.col("s") + F.lit(5)
     surface = F.when(F.col("doc_id") % 3 == 0, F.lit("wrong")).otherwise(F.substring("text", F.col("s") + 1, F.lit(5)))
     return d.select("doc_id", S.span_problem(F.col("text"), F.col("s"), end, surface).alias("problem"), S.trimmed_span(F.col("text"), F.col("s"), end)["start"].cast("long").alias("trimmed_start"))
@@ -145,12 +140,6 @@ QUERIES = {
     ),
     "b_cubed": (
         lambda w: ev.b_cubed(*clusters(w), ["doc"]).select("doc", "p_den", "r_den", F.floor(F.col("p_num") * 1000 + 0.5).alias("p_num_e3"), F.floor(F.col("r_num") * 1000 + 0.5).alias("r_num_e3")),
-        """WITH b AS (SELECT o_orderkey % 50 AS doc, o_orderkey AS item, o_custkey % 10 AS p, o_custkey % 12 AS g FROM orders WHERE o_orderkey < 4000),
-            n AS (SELECT doc, p, g, count(*) AS n FROM b GROUP BY ALL), sp AS (SELECT doc, p, count(*) AS s FROM b GROUP BY ALL), sg AS (SELECT doc, g, count(*) AS s FROM b GROUP BY ALL), d AS (SELECT doc, count(*) AS den FROM b GROUP BY 1)
-            SELECT doc, any_value(den) AS p_den, any_value(den) AS r_den, CAST(floor(sum(n * n / sp.s) * 1000 + 0.5) AS BIGINT) AS p_num_e3, CAST(floor(sum(n * n / sg.s) * 1000 + 0.5) AS BIGINT) AS r_num_e3 FROM n JOIN sp USING (doc, p) JOIN sg USING (doc, g) JOIN d USING (doc) GROUP BY doc""",
-    ),
-    "b_cubed_all": (
-        lambda w: ev.b_cubed(*clusters(w, "true"), ["doc"]).select("doc", "p_den", "r_den", F.floor(F.col("p_num") * 1000 + 0.5).alias("p_num_e3"), F.floor(F.col("r_num") * 1000 + 0.5).alias("r_num_e3")),
         """WITH b AS (SELECT o_orderkey % 50 AS doc, o_orderkey AS item, o_custkey % 10 AS p, o_custkey % 12 AS g FROM orders),
             n AS (SELECT doc, p, g, count(*) AS n FROM b GROUP BY ALL), sp AS (SELECT doc, p, count(*) AS s FROM b GROUP BY ALL), sg AS (SELECT doc, g, count(*) AS s FROM b GROUP BY ALL), d AS (SELECT doc, count(*) AS den FROM b GROUP BY 1)
             SELECT doc, any_value(den) AS p_den, any_value(den) AS r_den, CAST(floor(sum(n * n / sp.s) * 1000 + 0.5) AS BIGINT) AS p_num_e3, CAST(floor(sum(n * n / sg.s) * 1000 + 0.5) AS BIGINT) AS r_num_e3 FROM n JOIN sp USING (doc, p) JOIN sg USING (doc, g) JOIN d USING (doc) GROUP BY doc""",
@@ -175,21 +164,10 @@ QUERIES = {
                 WHEN EXISTS (SELECT 1 FROM g WHERE g.s = p.s AND g.lp = p.lp AND g.t = p.t) THEN 'lenient_only' WHEN EXISTS (SELECT 1 FROM g WHERE least(g.s, g.t) = least(p.s, p.t) AND greatest(g.s, g.t) = greatest(p.s, p.t)) THEN 'wrong_predicate'
                 WHEN EXISTS (SELECT 1 FROM g WHERE g.lp = p.lp AND (g.s IN (p.s, p.t) OR g.t IN (p.s, p.t))) THEN 'wrong_endpoint' ELSE 'false_positive' END AS class FROM p""", "relationship_version"),
     ),
-    "error_classes_all": (
-        lambda w: classes(w, "true"),
-        with_views(_ALL_RELS + """, g AS (SELECT * FROM l WHERE part = 1), p AS (SELECT * FROM l WHERE part = 0)
-            SELECT id, CASE WHEN a0 IS NULL OR b0 IS NULL THEN 'unresolved' WHEN EXISTS (SELECT 1 FROM g WHERE g.s = p.s AND g.p = p.p AND g.t = p.t) THEN 'tp'
-                WHEN EXISTS (SELECT 1 FROM g WHERE g.s = p.s AND g.lp = p.lp AND g.t = p.t) THEN 'lenient_only' WHEN EXISTS (SELECT 1 FROM g WHERE least(g.s, g.t) = least(p.s, p.t) AND greatest(g.s, g.t) = greatest(p.s, p.t)) THEN 'wrong_predicate'
-                WHEN EXISTS (SELECT 1 FROM g WHERE g.lp = p.lp AND (g.s IN (p.s, p.t) OR g.t IN (p.s, p.t))) THEN 'wrong_endpoint' ELSE 'false_positive' END AS class FROM p""", "relationship_version"),
-    ),
-    "referential_errors": (dangling, with_views("SELECT mention_id, entity_id FROM mention WHERE entity_id NOT IN (SELECT id FROM entity WHERE id % 3 = 0)", "mention", "entity")),
+    "referential_errors": (dangling, with_views("SELECT mention_id, entity_id FROM mention WHERE entity_id NOT IN (SELECT id FROM entity WHERE entity_type <> 'household')", "mention", "entity")),
     "duplicate_ids": (duplicates, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
     "unique_name_match": (
         matched,
-        "WITH k AS (SELECT lower(p_name) AS f, count(*) AS n, min(p_partkey) AS key FROM part WHERE p_partkey < 150 GROUP BY 1) SELECT p_partkey AS mention_id, CASE WHEN n = 1 THEN key END AS key, CASE WHEN n = 1 THEN 'name' WHEN n > 1 THEN 'ambiguous_name' ELSE 'unresolved' END AS source FROM part LEFT JOIN k ON f = lower(p_name)",
-    ),
-    "unique_name_match_all": (
-        lambda w: matched(w, "true"),
         "WITH k AS (SELECT lower(p_name) AS f, count(*) AS n, min(p_partkey) AS key FROM part GROUP BY 1) SELECT p_partkey AS mention_id, CASE WHEN n = 1 THEN key END AS key, CASE WHEN n = 1 THEN 'name' WHEN n > 1 THEN 'ambiguous_name' ELSE 'unresolved' END AS source FROM part LEFT JOIN k ON f = lower(p_name)",
     ),
     "span_checks": (span_checks, None),

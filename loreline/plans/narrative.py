@@ -42,8 +42,8 @@ def participations(w: World):
     return w.participant().join(w.event().select("event_id", "chapter_number"), "event_id")
 
 
-def nodes_asof(w: World, which: str = "id < 400"):
-    entities = w.entity().where(which).select("id", "canonical_name", "entity_type")
+def nodes_asof(w: World):
+    entities = w.entity().select("id", "canonical_name", "entity_type")
     out = graph.nodes_as_of(entities, N, edge_slice(w), fact_slice(w), w.fact_version(), w.relationship_version(), w.mention(), participations(w))
     return out.select("id", "canonical_name", "entity_type", "degree", "n_facts")
 
@@ -188,16 +188,6 @@ QUERIES = {
     ),
     "graph_nodes_asof": (
         nodes_asof,
-        with_views(_EXCLUDED + _SLICE + _EDGE_SLICE + """, deg AS (SELECT id, count(*) AS degree FROM (SELECT unnest([source_id, target_id]) AS id FROM edge_slice) GROUP BY id),
-            known AS (SELECT entity_id AS id, count(*) AS n_facts FROM fact_slice GROUP BY 1),
-            seen AS (SELECT DISTINCT entity_id AS id FROM mention WHERE chapter_number <= 10),
-            tagged AS (SELECT entity_id AS id FROM fact_version WHERE chapter_number IS NOT NULL UNION SELECT source_id FROM relationship_version WHERE chapter_number IS NOT NULL UNION SELECT target_id FROM relationship_version WHERE chapter_number IS NOT NULL
-                UNION SELECT entity_id FROM mention UNION SELECT p.entity_id FROM participant p JOIN event e USING (event_id) WHERE e.chapter_number IS NOT NULL)
-            SELECT e.id, e.canonical_name, e.entity_type, coalesce(degree, 0) AS degree, coalesce(n_facts, 0) AS n_facts FROM entity e LEFT JOIN deg USING (id) LEFT JOIN known USING (id)
-            WHERE e.id < 400 AND (degree IS NOT NULL OR n_facts IS NOT NULL OR e.id IN (SELECT id FROM seen) OR e.id NOT IN (SELECT id FROM tagged))""", "fact_version", "contradiction", "relationship_version", "mention", "participant", "event", "entity"),
-    ),
-    "graph_nodes_asof_all": (
-        lambda w: nodes_asof(w, "true"),
         with_views(_EXCLUDED + _SLICE + _EDGE_SLICE + """, deg AS (SELECT id, count(*) AS degree FROM (SELECT unnest([source_id, target_id]) AS id FROM edge_slice) GROUP BY id),
             known AS (SELECT entity_id AS id, count(*) AS n_facts FROM fact_slice GROUP BY 1),
             seen AS (SELECT DISTINCT entity_id AS id FROM mention WHERE chapter_number <= 10),
@@ -221,10 +211,6 @@ QUERIES = {
             SELECT entity_id, chapter_number, arg_min(reason, r) AS reason FROM every WHERE chapter_number IS NOT NULL GROUP BY ALL""", "participant", "event", "fact_version", "relationship_version", "mention"),
     ),
     "co_stars": (
-        lambda w: graph.co_stars(w.participant().where("entity_id < 20")),
-        with_views(", p AS (SELECT DISTINCT event_id, entity_id FROM participant WHERE entity_id < 20) SELECT a.entity_id, b.entity_id AS other_id, count(*) AS n_events FROM p a JOIN p b USING (event_id) WHERE a.entity_id <> b.entity_id GROUP BY ALL", "participant"),
-    ),
-    "co_stars_all": (
         lambda w: graph.co_stars(w.participant()),
         with_views(", p AS (SELECT DISTINCT event_id, entity_id FROM participant) SELECT a.entity_id, b.entity_id AS other_id, count(*) AS n_events FROM p a JOIN p b USING (event_id) WHERE a.entity_id <> b.entity_id GROUP BY ALL", "participant"),
     ),
