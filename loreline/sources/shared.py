@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written as a checkpoint under spark.checkpoint.dir; a local folder is used only where none is set, as in tests."""
+    """df written as a checkpoint under spark.checkpoint.dir. Where none is set, a local folder serves a local master; on a
+    cluster that is an error, since each executor would write to its own disk."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loreline-"))
     return df.checkpoint()

@@ -2,11 +2,12 @@
 
 import json
 import zipfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from loreline.operators import extraction, integrate, merge, resolve, spans
+from loreline.operators import extraction, integrate, ledger, merge, resolve, spans
 from loreline.sources import files
 from loreline.streaming import chapters as stream
 
@@ -62,9 +63,9 @@ def chapter(spark, state, n, people, rels=(), events=()):
 def test_integration(spark):
     s0 = integrate.empty_state(spark)
     s1 = chapter(spark, s0, 1, [("Mara Quinn", ["Red"], {"eye_color": "grey", "status": "alive"}), ("Tomas", [], {"status": ""})], [("Mara Quinn", "friend of", "Tomas"), ("Mara Quinn", "KNOWS", "Nobody")], [("MEETING", "They met."), ("MEETING", " They  met.")])
-    assert integrate.counters(s0, s1, 1) == {"entities_created": 2, "facts_added": 2, "relationships_added": 1, "events_added": 1, "contradictions_found": 0}
+    assert integrate.counters(s0, s1, 1) == {"entities_created": 2, "entities_updated": 0, "facts_added": 2, "relationships_added": 1, "events_added": 1, "contradictions_found": 0}
     s2 = chapter(spark, s1, 2, [("Mara", [], {"eye_color": "green", "status": "dead"}), ("Tomas", ["Tom"], {})], [("Mara", "ENEMY_OF", "Tom")])
-    assert integrate.counters(s1, s2, 2) == {"entities_created": 0, "facts_added": 2, "relationships_added": 1, "events_added": 0, "contradictions_found": 2}
+    assert integrate.counters(s1, s2, 2) == {"entities_created": 0, "entities_updated": 2, "facts_added": 2, "relationships_added": 1, "events_added": 0, "contradictions_found": 2}
     facts = {(r.property_name, r.value): r.status for r in s2.facts.collect()}
     assert facts == {("eye_color", "grey"): "ACTIVE", ("eye_color", "green"): "CONTRADICTED", ("status", "alive"): "SUPERSEDED", ("status", "dead"): "ACTIVE"}
     assert sorted(r.alias for r in s2.aliases.collect()) == ["Mara", "Red", "Tom"]
@@ -72,6 +73,61 @@ def test_integration(spark):
     assert sorted(map(tuple, again.facts.collect())) == sorted(map(tuple, s2.facts.collect()))
 
 
+def test_all_rules_judge_what_is_written(spark):
+    """Ages, deaths, a second father, cycles, and chapters that come late; decided claims are not recorded again."""
+    s = integrate.empty_state(spark)
+    s = chapter(spark, s, 1, [("Ann", [], {"age": "30", "status": "alive"}), ("Bert", [], {"status": "dead"}), ("Carl", [], {})], [("Bert", "FATHER_OF", "Ann")])
+    late = chapter(spark, s, 5, [("Ann", [], {"age": "twenty-five"}), ("Bert", [], {"status": "still alive"})], [("Carl", "father of", "Ann"), ("Carl", "FATHER_OF", "Bert")])
+    assert integrate.counters(s, late, 5) == {"entities_created": 0, "entities_updated": 2, "facts_added": 2, "relationships_added": 2, "events_added": 0, "contradictions_found": 3}
+    assert sorted((r.rule_id, r.confidence) for r in late.contradictions.collect()) == [("AGE_MONOTONIC", 0.7), ("DEAD_THEN_ALIVE", 0.7), ("RELATIONSHIP_SINGLE_SOURCE", 0.6)]
+    assert {(r.value, r.status) for r in late.facts.where("chapter_number = 5").collect()} == {("twenty-five", "CONTRADICTED"), ("still alive", "CONTRADICTED")}
+    assert sorted(r.status for r in late.relations.collect()) == ["ACTIVE", "ACTIVE", "CONTRADICTED"]
+    between = chapter(spark, late, 3, [("Ann", [], {"age": "31"})])
+    assert {(r.value, r.status) for r in between.facts.where("property_name = 'age'").collect()} == {("30", "SUPERSEDED"), ("31", "ACTIVE"), ("twenty-five", "CONTRADICTED")}
+    decided = replace(late, contradictions=late.contradictions.withColumn("status", F.lit("DISMISSED")))
+    again = chapter(spark, decided, 6, [("Ann", [], {"age": "25"}), ("Bert", [], {"status": "STILL ALIVE"})], [("Carl", "FATHER_OF", "Ann")])
+    assert integrate.counters(decided, again, 6)["contradictions_found"] == 1  # another spelling of the age is another claim
+    assert again.facts.where("chapter_number = 6 AND status = 'CONTRADICTED'").count() == 2
+
+
+def test_events_participants_and_cycles(spark):
+    e = spark.createDataFrame([(0, "Ann", "character", ["Annie"], {}, "she")], "place int, name string, type string, aliases array<string>, attributes map<string,string>, mention string")
+    r = spark.createDataFrame([], "place int, subject string, predicate string, object string")
+    v = spark.createDataFrame([("a", "TRAVEL", "Ann left", [("annie", "agent"), ("Nobody", "agent")]), ("b", None, "Ann came", [("Ann", None)])], "id string, type string, description string, participants array<struct<name:string,role:string>>")
+    t = spark.createDataFrame([("a", "BEFORE", "b"), ("a", "after", "b"), ("a", "BEFORE", "gone")], "event_1 string, relation string, event_2 string")
+    s0 = integrate.empty_state(spark)
+    s1 = integrate.integrate_chapter(s0, 1, e, r, v, "w", t)
+    assert integrate.counters(s0, s1, 1) == {"entities_created": 1, "entities_updated": 0, "facts_added": 0, "relationships_added": 0, "events_added": 2, "contradictions_found": 1}
+    assert sorted(x.role for x in s1.participants.collect()) == ["AGENT", "PARTICIPANT"] and s1.mentions.first().surface_text == "she"
+    assert {x.event_type for x in s1.events.collect()} == {"TRAVEL", "EVENT"} and s1.contradictions.first().event_refs == ["a", "b"]
+    s2 = integrate.integrate_chapter(s1, 1, e, r, v, "w", t)
+    assert set(integrate.counters(s1, s2, 1).values()) == {0}
+
+
+def test_ledger(spark):
+    facts = spark.createDataFrame([(1, 7, "age", "30", "ACTIVE"), (2, 7, "age", " 25", "CONTRADICTED"), (3, 8, "age", "30", "ACTIVE")], "version_id int, entity_id int, property_name string, value string, status string")
+    rels = spark.createDataFrame([(1, "a", "c", "FATHER_OF", "ACTIVE"), (2, "b", "c", "FATHER_OF", "CONTRADICTED"), (3, "a", "c", "father_of ", "SUPERSEDED")], "version_id int, source_id string, target_id string, relationship_type string, status string")
+    events = spark.createDataFrame([(1, 1, "MEETING", "They  met"), (2, 1, "MEETING", "they met ")], "event_id int, chapter_number int, event_type string, description string")
+    rows = [(1, 1, 2, None, None, None, None), (2, 2, 1, None, None, None, None), (3, 1, 3, None, None, None, None), (4, None, None, 1, 2, None, None), (5, None, None, 2, 3, None, None), (6, None, None, None, None, 1, None), (7, None, None, None, None, 2, 1), (8, None, None, None, None, 9, None)]
+    c = spark.createDataFrame(rows, "id int, old_fact_version_id int, new_fact_version_id int, old_relationship_version_id int, new_relationship_version_id int, event_id_a int, event_id_b int")
+    got = {r.id: (r.family, r.signature) for r in ledger.signatures(c, facts, rels, events).collect()}
+    assert got[1] == got[2] and got[4] == got[5] and got[6] == got[7] and got[3] == got[8] == (None, None) and len({got[1], got[4], got[6]}) == 3
+    decided = ledger.signatures(c.where("id = 4"), facts, rels, events)
+    assert [r.claim.split("\u0001")[0] for r in ledger.rejected_relations(decided, rels).collect()] == ["b"]
+    k = spark.createDataFrame([(1, 1, 2, "DETECTED"), (2, 1, 3, "DETECTED")], "id int, old_version_id int, new_version_id int, status string")
+    pick = spark.createDataFrame([(1, 2, None), (2, 9, None), (5, 1, None)], "id int, preferred_id int, status string")
+    assert {(r.id, r.reason) for r in ledger.resolution_errors(k, pick).collect()} == {(2, "not one of the two"), (5, "unknown contradiction")}
+    after, versions = ledger.resolved(k, facts, pick)
+    assert {r.id: r.status for r in after.collect()} == {1: "RESOLVED", 2: "DETECTED"} and {r.version_id: r.status for r in versions.collect()} == {1: "SUPERSEDED", 2: "ACTIVE", 3: "ACTIVE"}
+    new = spark.createDataFrame([("R", None, None, "x"), ("R", None, None, "y"), ("R", 1, None, "z"), ("R", 1, None, "w")], "rule_id string, a int, b int, explanation string")
+    assert sorted((r.a or 0, r.explanation in "zw") for r in ledger.recorded_once(new, new.where("explanation = 'x'"), ["a", "b"]).collect()) == [(0, False), (1, True)]
+    flat = spark.createDataFrame([("eye_color", "grey", "Green"), ("age", "1", "2"), ("eye_color", " grey", "GREY"), ("eye_color", None, "x")], "p string, a string, b string")
+    assert [r[0] for r in flat.select(ledger.fact_conflict(F.col("p"), F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+    sentences = spark.createDataFrame([(1, 0, 0, 1, "Ann was 30."), (1, 1, 12, 1, "She was 30 still.")], "chapter_number int, sentence int, start int, line int, text string")
+    side = ledger.sources(k.where("id = 1"), facts.withColumn("chapter_number", F.lit(1)), sentences).collect()
+    assert {(r.side, r.line, r.sentence) for r in side} == {("old", 1, "Ann was 30."), ("new", None, None)}
+
+
 def test_align_is_greedy_and_one_to_one(spark):
     p = spark.createDataFrame([("d", "p1", 0, 10), ("d", "p2", 5, 9), ("d", "p3", 20, 21)], "doc string, id string, start int, end int")
     g = spark.createDataFrame([("d", "g1", 4, 9), ("d", "g2", 0, 4), ("d", "g3", 30, 31)], "doc string, id string, start int, end int")
