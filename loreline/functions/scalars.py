@@ -187,9 +187,9 @@ def pair_key(a: Col, b: Col) -> Col:
 
 
 def answer_value(answer: Col) -> Col:
-    """The trimmed answer, null for words that say there is none."""
-    a = F.trim(answer)
-    return F.when(~F.lower(F.regexp_replace(a, r"\.$", "")).isin(*V.NONE_WORDS), a)
+    """The answer with white space collapsed and punctuation off its ends, null for words that say there is none."""
+    a = F.regexp_replace(F.regexp_replace(answer, r"(?U)\s+", " "), "^[ .,;:]+|[ .,;:]+$", "")
+    return F.when(~F.lower(a).isin(*V.NONE_WORDS), a)
 
 
 def stored_explanation(rule: Col, text: Col) -> Col:

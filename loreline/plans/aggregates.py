@@ -16,10 +16,12 @@ def stats(w: World):
 
 
 def character_stats(w: World):
-    p = w.participant().join(w.event().select("event_id", "chapter_number"), "event_id")
-    return p.groupBy("entity_id").agg(
-        F.countDistinct("event_id").alias("n_events"), F.array_join(F.array_sort(F.collect_set(F.lower("role"))), ",").alias("roles"), F.countDistinct("chapter_number").alias("n_chapters")
-    )
+    """Rows are summed to one for each entity and event first, so that counting is no distinct count over all joined rows."""
+    p = w.participant().groupBy("entity_id", "event_id").agg(F.collect_set(F.lower("role")).alias("roles"))
+    p = p.join(w.event().select("event_id", "chapter_number"), "event_id")
+    by_chapter = p.groupBy("entity_id", "chapter_number").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("roles"))).alias("roles"))
+    roles = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles")))), ",")
+    return by_chapter.groupBy("entity_id").agg(F.sum("n").alias("n_events"), roles.alias("roles"), F.count("chapter_number").alias("n_chapters"))
 
 
 def facets(w: World):

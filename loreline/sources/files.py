@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Schemas of annotation documents, read without inference.
@@ -79,9 +79,11 @@ def read_lists(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
 
 
 def with_predictions(gold: DataFrame, pred: DataFrame, key: str = "story_id") -> DataFrame:
-    """gold and pred as structs side by side; a missing prediction is an empty one."""
+    """gold and pred as structs side by side; a missing prediction is an empty one: its lists are empty, all else is null."""
     p = pred.select(F.col(key), F.struct(*pred.columns).alias("pred"))
-    return gold.select(F.col(key), F.struct(*gold.columns).alias("gold")).join(p, key, "left")
+    lists = [F.array().cast(f.dataType).alias(f.name) if f.dataType.typeName() == "array" else F.lit(None).cast(f.dataType).alias(f.name) for f in pred.schema]
+    both = gold.select(F.col(key), F.struct(*gold.columns).alias("gold")).join(p, key, "left")
+    return both.withColumn("pred", F.coalesce("pred", F.struct(*lists)))
 
 
 def overlay(documents: DataFrame, fixes: DataFrame, columns: list[str], key: str = "story_id") -> DataFrame:
@@ -109,3 +111,48 @@ def missing_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests with their key, the SHA-256 of their canonical JSON, that the cache (key) does not hold."""
     keyed = requests.withColumn("key", F.sha2(F.to_json(F.struct(*sorted(requests.columns))), 256))
     return keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+
+
+def stored_requests(requests: DataFrame, cache: DataFrame, path: str) -> None:
+    """Appends answered requests (with key, answer and what was measured) that the cache does not hold to its table."""
+    requests.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]).write.mode("append").parquet(path)
+
+
+def safe_name(name: Column, salt: Column) -> Column:
+    """A stored file's name: 32 digits that follow from salt and name, then the last part of the name alone."""
+    return F.concat_ws("_", F.substring(F.sha2(F.concat_ws("\u0001", salt, name), 256), 1, 32), F.regexp_extract(name, r"[^/\\\\]*$", 0))
+
+
+def write_contents(files: DataFrame, path: str) -> None:
+    """files (name, salt, content) as a table partitioned by safe name, a file's rows replaced if it is written again."""
+    write_partitioned(files.select(safe_name(F.col("name"), F.col("salt")).alias("stored"), "name", "content"), path, "stored")
+
+
+def stored_text(stored: DataFrame, name: str) -> str:
+    """The text of one stored file; an unknown name is an error."""
+    found = stored.where(F.col("stored") == name).select("content").first()
+    if found is None:
+        raise FileNotFoundError(name)
+    return found.content
+
+
+def delete_stored(spark: SparkSession, path: str, name: str) -> bool:
+    """Deletes one stored file's partition; whether there was one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stored={name}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_reviewed(documents: DataFrame, issues: DataFrame, path: str, key: str = "story_id") -> None:
+    """documents as JSON, and issues (key, issue) as text, a folder a document that has some."""
+    documents.write.mode("overwrite").json(f"{path}/documents")
+    issues.select(key, F.col("issue").alias("value")).write.mode("overwrite").partitionBy(key).text(f"{path}/issues")
+
+
+def save_profiles(profiles: DataFrame, changes: DataFrame, path: str) -> None:
+    """profiles (user_id, display_name, preferences map) after changes of the same columns: what is not null replaces what was,
+    key by key. Written as a new table for the caller to swap in."""
+    new = changes.select("user_id", F.col("display_name").alias("n"), F.col("preferences").alias("p"))
+    both = profiles.join(new, "user_id", "full")
+    kept = F.map_filter(F.coalesce("preferences", F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key("p", k), F.lit(False)))
+    merged = F.map_concat(kept, F.coalesce("p", F.create_map().cast("map<string,string>")))
+    both.select("user_id", F.coalesce(F.substring(F.trim("n"), 1, 120), "display_name").alias("display_name"), merged.alias("preferences")).write.mode("overwrite").parquet(path)
