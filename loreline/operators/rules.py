@@ -119,22 +119,24 @@ def _cycles(edges: list[tuple[str, str]], nodes: list[str]) -> list[list[str]]:
 
 
 @rule("TEMPORAL_CYCLE")
-def temporal_cycles(relations: DataFrame, events: DataFrame, scope: str = "chapter_number") -> DataFrame:
+def temporal_cycles(relations: DataFrame, events: DataFrame, scope: str | list[str] = "chapter_number") -> DataFrame:
     """Cycles among BEFORE and AFTER relations (scope, event_1, relation, event_2) of the events (scope, event_id) of one
-    scope: scope, cycle (event ids from the least), rule_id, confidence. Unknown events and other relations do not count."""
+    scope, which is a chapter, or world and chapter where there are several worlds: scope, cycle (event ids from the
+    least), rule_id, confidence. Unknown events and other relations do not count."""
+    scope = [scope] if isinstance(scope, str) else scope
     kind = F.upper("relation")
     edges = relations.where(kind.isin("BEFORE", "AFTER")).select(
-        scope, F.when(kind == "BEFORE", F.col("event_1")).otherwise(F.col("event_2")).alias("a"), F.when(kind == "BEFORE", F.col("event_2")).otherwise(F.col("event_1")).alias("b")
+        *scope, F.when(kind == "BEFORE", F.col("event_1")).otherwise(F.col("event_2")).alias("a"), F.when(kind == "BEFORE", F.col("event_2")).otherwise(F.col("event_1")).alias("b")
     )
-    grouped = edges.groupBy(scope).agg(F.collect_set(F.struct("a", "b")).alias("edges")).join(events.groupBy(scope).agg(F.collect_set("event_id").alias("nodes")), scope)
+    grouped = edges.groupBy(*scope).agg(F.collect_set(F.struct("a", "b")).alias("edges")).join(events.groupBy(*scope).agg(F.collect_set("event_id").alias("nodes")), scope)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(s, c) for s, e, n in frame.itertuples(index=False) for c in _cycles([(x["a"], x["b"]) for x in e], list(n))]
-            yield pd.DataFrame(rows, columns=[scope, "cycle"])
+            rows = [(*s, c) for *s, e, n in frame.itertuples(index=False) for c in _cycles([(x["a"], x["b"]) for x in e], list(n))]
+            yield pd.DataFrame(rows, columns=[*scope, "cycle"])
 
     kind_of = dict(edges.dtypes)
-    found = grouped.mapInPandas(run, f"{scope} {kind_of[scope]}, cycle array<{kind_of['a']}>")
+    found = grouped.mapInPandas(run, ", ".join([*[f"{c} {kind_of[c]}" for c in scope], f"cycle array<{kind_of['a']}>"]))
     return found.withColumns({"rule_id": F.lit("TEMPORAL_CYCLE"), "confidence": F.lit(1.0)})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loreline.functions import scalars as S
 from loreline.operators import evaluate as ev
-from loreline.operators import spans
+from loreline.operators import scoring, spans
 from loreline.sources.worlds import World, with_views
 
 
@@ -54,6 +54,26 @@ def contained(w: World):
     return spans.containing(gold_spans(w), pred_spans(w), ["doc"], "id").select("doc", "id", F.col("r.start").alias("start"), F.col("r.end").alias("end")).distinct()
 
 
+def zoned_spans(w: World):
+    zone = F.when(F.col("id") % 10 == 3, "ignored").otherwise("gold")
+    return gold_spans(w).withColumns({"type": F.lit("character"), "zone": zone})
+
+
+def scopes(w: World):
+    coverage = F.when(F.col("o_orderstatus") == "F", "exhaustive").when(F.col("o_orderstatus") == "O", "partial").otherwise("none")
+    return w.raw("orders").select(F.col("o_orderkey").alias("doc"), coverage.alias("coverage"), F.lit(None).cast("long").alias("region_start"), F.lit(None).cast("long").alias("region_end"))
+
+
+def exact_scores(w: World):
+    return scoring.exact_counts(pred_spans(w).withColumn("type", F.lit("character")), zoned_spans(w), scopes(w)).drop("metric")
+
+
+def contained_ones(w: World):
+    m = pred_spans(w).withColumns({"entity": F.lit(None).cast("long"), "source": F.lit("unresolved")})
+    g = gold_spans(w).select("doc", "start", "end", F.col("id").alias("entity"))
+    return scoring.contained_entities(m, g).where("source = 'containment'").select("doc", "id", "entity")
+
+
 def points(w: World):
     p = gold_spans(w).select("doc", "id", F.col("start").alias("at"))
     return spans.at_points(p, pred_spans(w), ["doc"], "at").select("doc", F.col("l.id").alias("id"), F.col("r.id").alias("span_id"))
@@ -148,6 +168,19 @@ QUERIES = {
     "span_containment": (contained, _SPANS + " SELECT DISTINCT g.doc, g.id, arg_min(p.s, (p.e - p.s, p.s)) AS start, arg_min(p.e, (p.e - p.s, p.s)) AS \"end\" FROM p JOIN g ON p.doc = g.doc AND p.s <= g.s AND g.e <= p.e GROUP BY g.doc, g.id"),
     "points_in_spans": (points, _SPANS + " SELECT g.doc, g.id, p.id AS span_id FROM p JOIN g ON p.doc = g.doc AND p.s <= g.s AND g.s < p.e"),
     "span_alignment": (aligned_counts, None),
+    "exact_span_scores": (
+        exact_scores,
+        _SPANS + """, sc AS (SELECT o_orderkey AS doc, CASE o_orderstatus WHEN 'F' THEN 'exhaustive' WHEN 'O' THEN 'partial' ELSE 'none' END AS coverage FROM orders),
+            gi AS (SELECT g.*, id % 10 = 3 AS ignored FROM g JOIN sc USING (doc) WHERE coverage <> 'none'), k AS (SELECT DISTINCT doc, s, e FROM gi WHERE NOT ignored),
+            z AS (SELECT doc, s, e FROM gi WHERE ignored EXCEPT SELECT doc, s, e FROM k), c AS (SELECT doc, s, e, count(*) AS n FROM p JOIN sc USING (doc) WHERE coverage <> 'none' GROUP BY ALL),
+            x AS (SELECT c.doc, c.n, k.s IS NOT NULL AS hit, z.s IS NOT NULL AS ign FROM c LEFT JOIN k ON k.doc = c.doc AND k.s = c.s AND k.e = c.e LEFT JOIN z ON z.doc = c.doc AND z.s = c.s AND z.e = c.e),
+            y AS (SELECT doc, count(*) FILTER (hit) AS tp, sum(CASE WHEN ign THEN 0 WHEN hit THEN n - 1 ELSE n END) AS fp FROM x GROUP BY 1), h AS (SELECT doc, count(*) AS gold FROM k GROUP BY 1)
+            SELECT doc, coverage, coalesce(tp, 0) AS tp, CAST(CASE WHEN coverage = 'exhaustive' THEN coalesce(fp, 0) ELSE 0 END AS BIGINT) AS fp, coalesce(gold, 0) - coalesce(tp, 0) AS fn FROM sc LEFT JOIN y USING (doc) LEFT JOIN h USING (doc)""",
+    ),
+    "contained_entities": (
+        contained_ones,
+        _SPANS + " SELECT p.doc, p.id, arg_min(g.id, (g.e - g.s, g.id)) AS entity FROM p JOIN g ON p.doc = g.doc AND g.s <= p.s AND p.e <= g.e AND (g.s <> p.s OR g.e <> p.e) GROUP BY ALL",
+    ),
     "majority_vote": (
         votes,
         with_views(", c AS (SELECT entity_id, property_name, count(*) AS n FROM fact_version GROUP BY ALL), t AS (SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY entity_id)) SELECT entity_id, CASE WHEN count(*) = 1 THEN max(property_name) END AS property_name, max(n) AS n FROM t GROUP BY 1", "fact_version"),
