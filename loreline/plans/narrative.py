@@ -86,10 +86,16 @@ def resolved(w: World):
 
 
 def cycles(w: World):
-    """Temporal relations between the events of a user's day: each precedes the next, and every seventh a previous one."""
-    e = w.raw("events").select(F.dayofmonth("ts").alias("chapter_number"), F.col("user_id").cast("string").alias("event_1"), (F.col("event_id") * 13 % 150).cast("string").alias("event_2"), F.when(F.col("event_id") % 3 == 0, "AFTER").otherwise("BEFORE").alias("relation"))
-    ids = e.select("chapter_number", F.explode(F.array("event_1", "event_2")).alias("event_id")).distinct()
-    return rules.temporal_cycles(e.where("event_1 <> event_2"), ids).select("chapter_number", F.array_join("cycle", ">").alias("cycle"))
+    """Lines of an order as events: each comes before the next, told from either end; the last one before the first if it was returned."""
+    from pyspark.sql import Window as W
+
+    lines = w.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"))
+    o, name = W.partitionBy("l_orderkey"), lambda c: F.concat(F.lit("e"), c.cast("string"))
+    after = F.coalesce(F.lead("l_linenumber").over(o.orderBy("l_linenumber")), F.when(F.col("flag") == "R", F.min("l_linenumber").over(o)))
+    e = lines.withColumn("after", after).where("after <> l_linenumber")
+    even = F.col("l_linenumber") % 2 == 0
+    e = e.select("l_orderkey", F.when(even, name(F.col("after"))).otherwise(name(F.col("l_linenumber"))).alias("event_1"), F.when(even, name(F.col("l_linenumber"))).otherwise(name(F.col("after"))).alias("event_2"), F.when(even, "after").otherwise("BEFORE").alias("relation"))
+    return rules.temporal_cycles(e, lines.select("l_orderkey", name(F.col("l_linenumber")).alias("event_id")), ["l_orderkey"]).select("l_orderkey", F.array_join("cycle", ">").alias("cycle"))
 
 
 _AGE = ", aged AS (SELECT *, CASE WHEN floor(value) BETWEEN 0 AND 150 THEN CAST(floor(value) AS INTEGER) END AS age, row_number() OVER (PARTITION BY entity_id, property_name ORDER BY created_at, version_id) AS place FROM fact_version)"
@@ -165,7 +171,11 @@ QUERIES = {
             FROM f n JOIN f o ON o.target_id = n.target_id AND o.source_id <> n.source_id AND o.status = 'ACTIVE' AND (o.created_at, o.version_id) < (n.created_at, n.version_id)
             GROUP BY n.source_id, n.target_id, n.version_id""", "relationship_version"),
     ),
-    "rule_temporal_cycles": (cycles, None),
+    "rule_temporal_cycles": (
+        cycles,
+        """WITH l AS (SELECT l_orderkey, l_linenumber AS k, max(l_returnflag) AS f FROM lineitem GROUP BY ALL)
+            SELECT l_orderkey, string_agg('e' || k, '>' ORDER BY k) AS cycle FROM l GROUP BY 1 HAVING count(*) > 1 AND arg_max(f, k) = 'R'""",
+    ),
     "contradiction_dedupe": (new_findings, with_views(_IMMUTABLE + " SELECT old_version_id, new_version_id FROM found f WHERE NOT EXISTS (SELECT 1 FROM contradiction c WHERE c.old_fact_version_id = f.old_version_id AND c.new_fact_version_id = f.new_version_id)", "fact_version", "contradiction")),
     "decided_claims": (
         decided,

@@ -37,5 +37,6 @@ def test_same_as_sql(name, spark, sf, duck):
 
 
 @pytest.mark.parametrize("name", [n for n in plans.queries() if n not in plans.oracle_sql()])
-def test_runs(name, spark, sf):
-    assert plans.queries()[name](spark, sf).count() >= 0
+def test_gives_rows(name, spark, sf):
+    """What they hold is tested on small tables of their own."""
+    assert plans.queries()[name](spark, sf).count() > 0
