@@ -177,7 +177,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "d" / "e" / "ch1.json").write_text(json.dumps({"story_id": "s", "text": "t", "mentions": [{"mention_id": "M1", "text": "t", "type": "other", "start": 0, "end": 1}]}, indent=1))
     docs = files.read_documents(spark, str(tmp_path / "d"), "ch*.json")
     assert docs.first().mentions[0].mention_id == "M1"
-    assert files.with_predictions(docs, docs.where("false")).first().pred is None
+    empty = files.with_predictions(docs, docs.where("false")).first().pred
+    assert empty.mentions == [] and empty.facts == [] and empty.text is None
     (tmp_path / "q.csv").write_text("id,l\n1,\"['a', 'b c']\"\n2,nan\n3,\n")
     assert [r.l for r in files.read_lists(spark, str(tmp_path / "q.csv"), ["l"]).orderBy("id").collect()] == [["a", "b c"], [], []]
     assert files.read_job(spark, str(tmp_path / "none"), "j", "job_id string").count() == 0
