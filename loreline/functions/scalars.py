@@ -142,6 +142,17 @@ def plural_role(name: Col) -> Col:
     return bare_role(name) & name.rlike(r"(?<!s)s$")
 
 
+def without_determiner(name: Col) -> Col:
+    """A noun without the determiner in front of it."""
+    return F.regexp_replace(F.trim(name), rf"^(?i:{'|'.join(V.ROLE_DETERMINERS)})\s+(?=\S)", "")
+
+
+def names_several(name: Col) -> Col:
+    """Whether the last word is a plural: irregular, or in s but not ss, us or is."""
+    last = F.lower(F.element_at(F.split(F.trim(name), r"\s+"), -1))
+    return last.isin(*V.IRREGULAR_PLURALS) | last.rlike("(?<![sui])s$")
+
+
 def group_gender(role_m: Col, role_f: Col, pronoun_m: Col, pronoun_f: Col) -> Col:
     """Role words decide from one on, pronouns from two on; the winner needs twice the other."""
     def won(m: Col, f: Col, least: int) -> Col:

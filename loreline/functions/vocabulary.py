@@ -14,6 +14,13 @@ TITLES = (
 )
 NAME_CONNECTORS = ("of", "the", "de", "van", "von", "la", "le", "du", "da")
 GENDERED_TITLES = {"mr": "m", "sir": "m", "lord": "m", "mrs": "f", "miss": "f", "ms": "f", "lady": "f"}
+GENDER_ROLES = {
+    "m": ("father", "dad", "papa", "pa", "mr", "sir", "lord", "husband", "son", "brother"),
+    "f": ("mother", "mum", "mom", "mama", "ma", "step-mother", "stepmother", "mrs", "miss", "ms", "lady", "dame", "wife", "daughter", "sister"),
+}
+GENDER_PRONOUNS = {"m": ("he", "him", "his", "himself"), "f": ("she", "her", "hers", "herself")}
+ROLE_DETERMINERS = ("a", "an", "the", "his", "her", "my", "our", "their", "your", "its")
+IRREGULAR_PLURALS = ("children", "people", "men", "women", "folk", "folks", "family", "parents")
 UNITS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
     "eighteen nineteen"
