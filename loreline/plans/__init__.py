@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreline.plans import aggregates, evaluation, narrative, tables, texts, views, writes
+from loreline.plans import aggregates, evaluation, hybrids, narrative, tables, texts, views, writes
 from loreline.sources.worlds import World
 
 ALL: dict[str, tuple[Callable[[World], DataFrame], str | None]] = {}
-for _module in (narrative, tables, aggregates, evaluation, texts, writes, views):
+for _module in (narrative, tables, aggregates, evaluation, texts, writes, views, hybrids):
     ALL |= _module.QUERIES
 
 
