@@ -118,7 +118,7 @@ def _sort_seeds(text: np.ndarray, seeds: np.ndarray, depth: int, limit: int, bas
             names = _dense(key)
         at += fit
         count = np.bincount(names, minlength=m)
-        open_ = np.flatnonzero((count[names] > 1) & (stop - seeds > at)) if at < depth else open_[:0]
+        open_ = np.flatnonzero((count[names] > 1) & (stop - seeds >= at)) if at < depth else open_[:0]
     if m > base and names.max() + 1 < m:
         order, _ = induced_order(names, depth, limit, base, common=False)
         return order

@@ -436,6 +436,51 @@ def test_induced_order(values, depth, limit, base):
         assert common[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def shard_of(rng):
+    """Stretches as they meet in a shard: shared passages of many letters, cut anywhere, between words of their own."""
+    letters = rng.choice(["ab", "abcd ", "".join(map(chr, range(33, 127))), "".join(map(chr, range(97, 123))) + " "])
+    noise = lambda n: "".join(rng.choices(letters, k=n))
+    shared = [noise(rng.randrange(20, 260)) for _ in range(rng.randrange(1, 4))]
+    out = []
+    for key in range(rng.randrange(2, 60)):
+        s = rng.choice(shared)
+        a, b = sorted(rng.sample(range(len(s) + 1), 2))
+        out.append((key, (noise(rng.randrange(30)) + s[a:b] + noise(rng.randrange(30)) + rng.choice([s[:b], ""])).encode()))
+    return out
+
+
+@pytest.mark.parametrize("match", [8, 20, 100])
+@pytest.mark.parametrize("base", [0, 1 << 22])
+def test_shards_of_shared_passages(match, base):
+    rng = random.Random(match + base)
+    for _ in range(80):
+        rows = [r for r in shard_of(rng) if len(r[1]) >= match]
+        if not rows:
+            continue
+        segments = [(k, min(len(d) - match + 1, 255) << 8, d[: match + 254]) for k, d in rows]
+        got = {(k, (p >> 16) + j) for k, p in suffix_dedup.repeats_in_shard(segments, match, base=base) for j in range(p >> 8 & 255)}
+        seen, want = set(), set()
+        for k, _, d in segments:
+            for j in range(len(d) - match + 1):
+                want |= {(k, j)} if d[j : j + match] in seen else set()
+                seen.add(d[j : j + match])
+        assert got == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data(), st.sampled_from([70, 300, 5000]), st.sampled_from([3, 20, 100]), st.sampled_from([0, 1 << 22]))
+def test_induced_order_of_wide_alphabets(data, letters, depth, base):
+    shared = data.draw(st.lists(st.integers(1, letters), min_size=1, max_size=130))
+    parts = data.draw(st.lists(st.tuples(st.integers(0, len(shared)), st.integers(0, len(shared)), st.lists(st.integers(1, letters), max_size=12)), max_size=10))
+    text = np.array([c for a, b, more in parts for c in [*shared[min(a, b) : max(a, b)], *more, 0]] or [0], dtype=np.int64)
+    order, common = induced_order(text, depth, base=base)
+    heads = [tuple(text[i : i + depth]) for i in order]
+    assert sorted(order.tolist()) == list(range(len(text))) and heads == sorted(heads)
+    for i in range(1, len(heads)):
+        a, b = heads[i - 1], heads[i]
+        assert common[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
 def brute_repeats(rows, match):
     seen, out = set(), {}
     for i, t in rows:
