@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loreline.operators import evaluate as ev
 from loreline.operators import views
+from loreline.sources.shared import plain_unions
 
 MENTION = ["doc", "text", "type", "kind", "start", "end"]
 
@@ -32,7 +33,8 @@ def hybrid_mentions(gold: DataFrame, pred: DataFrame, cuts: DataFrame) -> DataFr
 
 def without_added(mentions: DataFrame, members: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """mentions (with gold_id) without those that a later step added inside the region, and members (doc, cluster, id) of what
-    is left; clusters of one go."""
+    is left; clusters of one go. mentions are often a union of windowed tables: see plain_unions."""
+    plain_unions(mentions.sparkSession)
     added = mentions.join(cuts.select("doc", F.col("end").alias("cut")), "doc").where("end <= cut AND gold_id IS NULL").select("doc", "id")
     left = members.join(added, ["doc", "id"], "left_anti")
     several = left.groupBy("doc", "cluster").agg(F.count("*").alias("n")).where("n > 1").select("doc", "cluster")

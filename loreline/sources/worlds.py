@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreline.sources.shared import plain_unions
+
 
 class World:
     """Tables by name; each is a lazily read DataFrame whose filters and columns reach the Parquet scan."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        plain_unions(spark)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
