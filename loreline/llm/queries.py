@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import byte_bpe, chunk_dedup, curve_packing, host_reputation, importance_resampling, minhash_forest, rare_feature_digest, suffix_dedup, token_count, token_files
+from loreline.llm import (
+    byte_bpe, chunk_dedup, curve_packing, host_reputation, host_rules, importance_resampling, minhash_forest, phrase_bitmaps, rare_feature_digest, suffix_dedup, token_count, token_files, whitening,
+)
 from loreline.llm.common import scratch_path, table
 from loreline.llm.tokenizer_files import public_path
 
@@ -69,6 +71,19 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op11_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_bitmaps.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its domain."""
+    return host_rules.judge(table(spark, sf_dir, "documents")).drop("domain_rejected")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chunk_dedup": op1_chunk_dedup,
     "op2_importance_resampling": op2_importance_resampling,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_count": op9_token_count,
     "op10_curve_packing": op10_curve_packing,
+    "op11_phrase_bitmaps": op11_phrase_bitmaps,
+    "op12_host_rules": op12_host_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -125,4 +143,56 @@ ORACLE_SQL = {
         )
         SELECT page_id, host, path, rule, coalesce(action, verdict) AS verdict FROM fit JOIN v USING (host)
     """,
+    "op11_phrase_bitmaps": r"""
+        WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), p AS (SELECT d, lang, unnest(list_zip(x, range(len(x)))) AS x FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS x FROM d)
+        ), q AS (SELECT d, lang, x[2] AS piece, regexp_extract_all(x[1], '[^\x20\x09]+') AS ws FROM p
+        ), w AS (SELECT d, lang, piece, ws, unnest(range(1, len(ws) + 1)) AS i FROM q
+        ), g AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, range(1, 5) AS r(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL
+        ), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang
+        ), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 30
+        ), cuts AS (
+            SELECT lang, phrase, a, j AS cut, array_to_string(ws[1:j], ' ') AS front, array_to_string(ws[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+        ), s AS (
+            SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+            FROM cuts JOIN g AS x ON x.lang = cuts.lang AND x.phrase = front JOIN g AS y ON y.lang = cuts.lang AND y.phrase = rest
+        ), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), inside AS (
+            SELECT c.lang, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase, max(c.a) AS longer
+            FROM c, range(1, 4) AS s(i), range(2, 4) AS t(m) WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL
+        ), kept AS (SELECT b.* FROM b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+    "op12_host_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS d, doc_id, source, coalesce(text, '') AS t FROM documents
+        ), x AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+        ), l AS (
+            SELECT d, sum(n - 1)::BIGINT AS n_dup_lines
+            FROM (SELECT d, line, count(*) AS n FROM (SELECT d, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY d
+        ), g AS (SELECT d, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT d, ws, unnest(range(1, len(ws) - 3)) AS i FROM x)
+        ), twice AS (SELECT d, i FROM g QUALIFY count(*) OVER (PARTITION BY d, gram) > 1
+        ), r AS (SELECT d, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(5) AS s(j) GROUP BY d
+        ), f AS (
+            SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM x LEFT JOIN l USING (d) LEFT JOIN r USING (d)
+        ), e AS (
+            SELECT *, n_words < 10 AS few, 100 * n_repeat_words > 20 * n_words AS repeats, word_chars < n_words * 2 OR word_chars > n_words * 12 AS odd, n_symbols * 10 > n_words AS symbols, n_dup_lines * 10 > n_words AS dup FROM f
+        ), h AS (
+            SELECT source, rule, count(*) AS n, sum(fails::INT) AS k
+            FROM (SELECT source, unnest([{'rule': 1, 'fails': few}, {'rule': 2, 'fails': repeats}, {'rule': 3, 'fails': odd}, {'rule': 4, 'fails': symbols}, {'rule': 5, 'fails': dup}], recursive := true) FROM e WHERE source IS NOT NULL)
+            GROUP BY ALL
+        ), s AS (SELECT rule, count(*) AS m, sum(n) AS n, sum(k) / sum(n) AS p, sum(n::DOUBLE * n) AS n2, sum(k::DOUBLE * k / n) AS y2 FROM h GROUP BY rule
+        ), c AS (
+            SELECT rule, p, CASE WHEN most > 1e-9 THEN 1 / least(greatest(between_ / most, 1 / 1001.0::DOUBLE), 0.5) - 1 ELSE 1000.0 END AS strength
+            FROM (SELECT rule, p, y2 - n * p * p - p * (1 - p) * (m - 1) AS between_, p * (1 - p) * (n - n2 / n - (m - 1)) AS most FROM s)
+        ), v AS (
+            SELECT source, max(rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1))) > 0.5 AS rejected
+            FROM (SELECT source, n, strength, (k + strength * p) / (n + strength) AS rate FROM h JOIN c USING (rule)) GROUP BY source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR repeats AS base_failed, NOT (few OR repeats OR coalesce(rejected, false)) AS kept
+        FROM e LEFT JOIN v USING (source)
+    """,
 }
