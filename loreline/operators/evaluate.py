@@ -57,6 +57,13 @@ def majority(votes: DataFrame, key: list[str], choice: str) -> DataFrame:
     return top.groupBy(*key).agg(F.when(F.count("*") == 1, F.max(choice)).alias(choice), F.max("n").alias("n"))
 
 
+def majority_or_least(votes: DataFrame, key: list[str], choice: str) -> DataFrame:
+    """The most frequent choice of each key, of equals the least."""
+    counted = votes.groupBy(*key, choice).agg(F.count("*").alias("n"))
+    best = counted.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("n"), choice)))
+    return best.where("_r = 1").select(*key, choice)
+
+
 def most_common(rows: DataFrame, key: list[str], name: str, place: str) -> DataFrame:
     """The most frequent name of each key; of equals the shorter, then the one seen first."""
     counted = rows.groupBy(*key, name).agg(F.count("*").alias("n"), F.min(place).alias("first"))
