@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreline.functions import scalars as S
-from loreline.operators import rules
+from loreline.operators import rules, texts
 
 
 def relation_claim(source: Column, target: Column, kind: Column) -> Column:
@@ -111,12 +111,33 @@ def relation_conflict(old: Column, new: Column) -> Column:
     return out
 
 
-def sources(contradictions: DataFrame, versions: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Where both sides of a contradiction (id, old_version_id, new_version_id) stand: id, side, chapter_number, line and
-    sentence of the first sentence (chapter_number, sentence, start, line, text) of the version's chapter that holds its
-    value in any case, else null for both."""
-    sides = contradictions.select("id", F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old_version_id").alias("version_id")), F.struct(F.lit("new").alias("side"), F.col("new_version_id").alias("version_id")))).alias("s")).select("id", "s.*")
-    rows = sides.join(versions.select("version_id", "chapter_number", F.col("value").cast("string").alias("value")), "version_id")
-    near = rows.join(sentences, "chapter_number").where(F.contains(S.fold_spaces(F.col("text")), S.fold_spaces(F.col("value"))) & ~S.is_blank(F.col("value")))
-    best = near.groupBy("id", "side").agg(F.min_by(F.struct("line", F.col("text").alias("sentence")), "start").alias("b"))
-    return rows.select("id", "side", "chapter_number").join(best, ["id", "side"], "left").select("id", "side", "chapter_number", "b.line", "b.sentence")
+def _sides(contradictions: DataFrame, old: str, new: str) -> DataFrame:
+    sides = F.array(F.struct(F.lit("old").alias("side"), F.col(old).alias("version_id")), F.struct(F.lit("new").alias("side"), F.col(new).alias("version_id")))
+    return contradictions.select("id", F.explode(sides).alias("s")).select("id", "s.*").where("version_id IS NOT NULL")
+
+
+def _located(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """rows (id, side, chapter_id, values, names) with where their chapter tells of them; the key holds world and manuscript apart."""
+    told = rows.join(chapters.select("chapter_id", "chapter_number", "text"), "chapter_id", "left").withColumn("_key", F.to_json(F.struct("id", "side")))
+    at = texts.locate(told.where("text IS NOT NULL"), "_key", "text", "values", "names").select("_key", "line", "start", "end")
+    found = told.join(at, "_key", "left")
+    label = F.when(F.col("chapter_id").isNull(), "Added manually").when(F.col("line").isNull(), F.format_string("Chapter %d", "chapter_number")).otherwise(F.format_string("Chapter %d · line %d", "chapter_number", "line"))
+    return found.select("id", "side", "chapter_id", "chapter_number", "line", "start", "end", F.trim(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("sentence"), label.alias("label"))
+
+
+def sources(contradictions: DataFrame, versions: DataFrame, chapters: DataFrame, names: DataFrame) -> DataFrame:
+    """Where both sides of a contradiction of facts (id, old_version_id, new_version_id) stand: id, side, chapter_id, chapter_number, line, start and end
+    (of the sentence), sentence and label. The sentence of the version's chapter is taken that best shows the value near a name of
+    the entity (texts.locate); null if none shows it. versions: version_id, entity_id, chapter_id (null: entered by hand), value. chapters: chapter_id,
+    chapter_number, text (the current one). names: entity_id, names (array).
+    """
+    rows = _sides(contradictions, "old_version_id", "new_version_id").join(versions.select("version_id", "entity_id", "chapter_id", F.col("value").cast("string").alias("value")), "version_id")
+    return _located(rows.join(names, "entity_id", "left").withColumn("values", F.array(F.coalesce("value", F.lit("")))), chapters)
+
+
+def relation_sources(contradictions: DataFrame, versions: DataFrame, chapters: DataFrame, names: DataFrame) -> DataFrame:
+    """The same for relationships (versions: version_id, source_id, target_id, chapter_id): the sentence that names both ends."""
+    rows = _sides(contradictions, "old_version_id", "new_version_id").join(versions.select("version_id", "source_id", "target_id", "chapter_id"), "version_id")
+    for end in ("source", "target"):
+        rows = rows.join(names.select(F.col("entity_id").alias(f"{end}_id"), F.col("names").alias(f"_{end}")), f"{end}_id", "left")
+    return _located(rows.withColumns({"values": F.array_compact(F.array(F.get("_target", F.lit(0)), F.get("_source", F.lit(0)))), "names": F.concat("_source", "_target")}), chapters)

@@ -123,9 +123,22 @@ def test_ledger(spark):
     assert sorted((r.a or 0, r.explanation in "zw") for r in ledger.recorded_once(new, new.where("explanation = 'x'"), ["a", "b"]).collect()) == [(0, False), (1, True)]
     flat = spark.createDataFrame([("eye_color", "grey", "Green"), ("age", "1", "2"), ("eye_color", " grey", "GREY"), ("eye_color", None, "x")], "p string, a string, b string")
     assert [r[0] for r in flat.select(ledger.fact_conflict(F.col("p"), F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
-    sentences = spark.createDataFrame([(1, 0, 0, 1, "Ann was 30."), (1, 1, 12, 1, "She was 30 still.")], "chapter_number int, sentence int, start int, line int, text string")
-    side = ledger.sources(k.where("id = 1"), facts.withColumn("chapter_number", F.lit(1)), sentences).collect()
-    assert {(r.side, r.line, r.sentence) for r in side} == {("old", 1, "Ann was 30."), ("new", None, None)}
+
+
+def test_sources_of_contradictions(spark):
+    df = spark.createDataFrame
+    chapters = df([(10, 1, "It rained.\nShe was 30 then. Ann was 30 still."), (20, 1, "Ann was 31. Bo was 30."), (30, 2, None)], "chapter_id int, chapter_number int, text string")
+    facts = df([(1, 7, 10, "30"), (2, 7, 20, "31"), (3, 7, None, "32"), (4, 7, 10, "99"), (5, 7, 30, "30"), (6, 8, 20, "30")], "version_id int, entity_id int, chapter_id int, value string")
+    names = df([(7, ["Ann", "Miss Ann"]), (8, ["Bo"])], "entity_id int, names array<string>")
+    found = df([(1, 1, 2), (2, 3, 4), (3, 5, 6), (4, None, 1)], "id int, old_version_id int, new_version_id int")
+    got = {(r.id, r.side): (r.chapter_id, r.line, r.sentence, r.label) for r in ledger.sources(found, facts, chapters, names).collect()}
+    assert got == {
+        (1, "old"): (10, 2, "Ann was 30 still.", "Chapter 1 · line 2"), (1, "new"): (20, 1, "Ann was 31.", "Chapter 1 · line 1"), (2, "old"): (None, None, None, "Added manually"), (2, "new"): (10, None, None, "Chapter 1"),
+        (3, "old"): (30, None, None, "Chapter 2"), (3, "new"): (20, 1, "Bo was 30.", "Chapter 1 · line 1"), (4, "new"): (10, 2, "Ann was 30 still.", "Chapter 1 · line 2"),
+    }
+    ties = df([(1, 7, 8, 20), (2, 8, 7, 10)], "version_id int, source_id int, target_id int, chapter_id int")
+    told = {r.side: r.sentence for r in ledger.relation_sources(df([(1, 1, 2)], "id int, old_version_id int, new_version_id int"), ties, df([(20, 1, "Ann slept. Bo met Ann.")], "chapter_id int, chapter_number int, text string"), names).collect()}
+    assert told == {"old": "Bo met Ann.", "new": None}
 
 
 def test_align_is_greedy_and_one_to_one(spark):
