@@ -67,14 +67,18 @@ def recent_events(events: DataFrame, n: int) -> DataFrame:
 
 
 def appearances(events: DataFrame, facts: DataFrame, relations: DataFrame, mentions: DataFrame) -> DataFrame:
-    """entity_id, chapter_number and reason: the strongest reason for which an entity appears in a chapter."""
+    """entity_id, chapter_number and reason: the strongest reason for which an entity appears in a chapter. Of events (with event_id and
+    event_type) the last one counts and gives its type. Each side is one row an entity and chapter before they meet."""
+    key = ["entity_id", "chapter_number"]
+    last = F.concat(F.lit("Event: "), F.max_by("event_type", "event_id"))
     parts = []
     for rank, (reason, rows) in enumerate(zip(REASONS, (events, facts, relations, mentions), strict=True)):
-        parts.append(rows.where("chapter_number IS NOT NULL").select("entity_id", "chapter_number", F.lit(rank).alias("rank"), F.lit(reason).alias("reason")))
+        told = last if reason == "event" else F.lit(reason)
+        parts.append(rows.where("chapter_number IS NOT NULL").groupBy(*key).agg(told.alias("reason")).withColumn("rank", F.lit(rank)))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("entity_id", "chapter_number").agg(F.min_by("reason", "rank").alias("reason"))
+    return every.groupBy(*key).agg(F.min_by("reason", "rank").alias("reason"))
 
 
 def co_stars(participants: DataFrame) -> DataFrame:

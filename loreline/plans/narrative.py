@@ -58,7 +58,7 @@ def state():
 
 def appearances(w: World):
     rel = w.relationship_version().select(F.explode(F.array("source_id", "target_id")).alias("entity_id"), "chapter_number")
-    return graph.appearances(participations(w).select("entity_id", "chapter_number"), w.fact_version(), rel, w.mention())
+    return graph.appearances(w.participant().join(w.event().select("event_id", "chapter_number", "event_type"), "event_id"), w.fact_version(), rel, w.mention())
 
 
 def immutable(w: World):
@@ -216,7 +216,7 @@ QUERIES = {
     ),
     "appearances": (
         appearances,
-        with_views(""", every AS (SELECT p.entity_id, e.chapter_number, 0 AS r, 'event' AS reason FROM participant p JOIN event e USING (event_id) UNION ALL SELECT entity_id, chapter_number, 1, 'fact' FROM fact_version
+        with_views(""", every AS (SELECT p.entity_id, e.chapter_number, 0 AS r, 'Event: ' || arg_max(e.event_type, e.event_id) AS reason FROM participant p JOIN event e USING (event_id) GROUP BY 1, 2 UNION ALL SELECT entity_id, chapter_number, 1, 'fact' FROM fact_version
             UNION ALL SELECT unnest([source_id, target_id]), chapter_number, 2, 'relationship' FROM relationship_version UNION ALL SELECT entity_id, chapter_number, 3, 'mention' FROM mention)
             SELECT entity_id, chapter_number, arg_min(reason, r) AS reason FROM every WHERE chapter_number IS NOT NULL GROUP BY ALL""", "participant", "event", "fact_version", "relationship_version", "mention"),
     ),
