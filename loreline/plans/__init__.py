@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreline.plans import aggregates, answers, editions, entities, evaluation, hybrids, narrative, scores, tables, texts, views, writes
+from loreline.plans import aggregates, answers, editions, entities, evaluation, hybrids, narrative, questions, scores, tables, texts, views, writes
 from loreline.sources.worlds import World
 
 ALL: dict[str, tuple[Callable[[World], DataFrame], str | None]] = {}
-for _module in (narrative, tables, aggregates, evaluation, texts, writes, views, hybrids, scores, editions, answers, entities):
+for _module in (narrative, tables, aggregates, evaluation, texts, writes, views, hybrids, scores, editions, answers, entities, questions):
     ALL |= _module.QUERIES
 
 
