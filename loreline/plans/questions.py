@@ -42,7 +42,7 @@ def attributed(w: World) -> DataFrame:
     known = x.select("doc", "entity", F.col("entity").alias("name")).unionByName(x.select("doc", F.col("other").alias("entity"), F.col("other").alias("name"))).distinct()
     at = {"at": F.col("start")}
     facts = x.withColumns(at | {"property": F.concat(F.lit("p"), "id"), "value": word(3)}).select("doc", "id", "entity", "property", "value", "at")
-    raw = x.where(n % 4 != 1).select("doc", F.col("part").alias("chunk"), F.when(n % 3 == 0, word(2)).otherwise(F.concat(F.lit("The "), word(1))).alias("name"), F.concat(F.lit("p"), "id").alias("property"), F.when(n % 4 == 2, word(4)).otherwise(F.concat(F.upper(word(3)), F.lit("  more"))).alias("value"))
+    raw = x.where(n % 4 != 1).select("doc", F.col("part").alias("chunk"), F.when(n % 3 == 0, word(2)).otherwise(F.concat(F.lit("The "), word(1))).alias("name"), F.concat(F.lit("p"), "id").alias("property"), F.when(n % 4 == 2, word(4)).otherwise(F.concat(word(3), F.lit("  MORE"))).alias("value"))
     relations = x.withColumns(at | {"predicate": F.when(n % 2 == 0, "KNOWS").otherwise("FATHER_OF")}).select("doc", "id", F.col("entity").alias("subject"), "predicate", F.col("other").alias("object"), "at")
     said = x.where(n % 4 != 0).select("doc", F.col("part").alias("chunk"), F.concat(F.lit("an "), word(2)).alias("subject"), F.when(n % 4 == 1, "child_of").otherwise("knows").alias("relation"), word(1).alias("object"))
     of_facts = closed.fact_attribution(facts, raw, known, mentions, chunks).withColumn("kind", F.lit("fact"))
