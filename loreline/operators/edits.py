@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreline.functions import scalars as S
+from loreline.operators import integrate
+from loreline.sources.shared import plain_unions, settled
 
 
 def add_facts(versions: DataFrame, added: DataFrame) -> DataFrame:
@@ -16,6 +21,34 @@ def add_facts(versions: DataFrame, added: DataFrame) -> DataFrame:
     return old.unionByName(added.withColumn("status", F.lit("ACTIVE")).select(*versions.columns))
 
 
+def judged_facts(versions: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """versions after manual additions that the rules judge as they judge a chapter's, and what they found. A clean one is ACTIVE and supersedes the
+    newest ACTIVE version of its key, equal or not; one that is found against is CONTRADICTED and the others stay. Additions to one key
+    follow each other by created_at and version_id; one whose version_id is stored is not written again."""
+    key = ["entity_id", "property_name"]
+    return integrate.append(versions, added, key, F.concat_ws("\u0001", *key), lambda a, b: F.lit(False), integrate.fact_findings, key)
+
+
+def judged_relations(versions: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for relations (source_id, target_id, relationship_type), and the additions refused: those without a type, and those that the pair's
+    ACTIVE version says by then. Additions to one target follow each other, for a second source may speak against the first."""
+    pair = ["source_id", "target_id"]
+    rows = added.withColumn("relationship_type", F.trim("relationship_type"))
+    blank, rows = rows.where(S.is_blank(F.col("relationship_type"))), rows.where(~S.is_blank(F.col("relationship_type")))
+    rows = settled(rows.join(versions.select("version_id"), "version_id", "left_anti").withColumn("_turn", F.row_number().over(W.partitionBy("target_id").orderBy("created_at", "version_id"))))
+    plain_unions(versions.sparkSession)
+    near = rows.select("target_id").distinct()
+    rest, now = versions.join(near, "target_id", "left_anti").select(versions.columns), versions.join(near, "target_id", "left_semi").select(versions.columns)
+    refused, found = [blank.select(added.columns)], []
+    for turn in range(1, (rows.agg(F.max("_turn")).first()[0] or 0) + 1):
+        new = rows.where(F.col("_turn") == turn).select(added.columns)
+        said = settled(rejected_relations(now.where("status = 'ACTIVE'").withColumn("relationship_type", F.trim("relationship_type")), new))
+        now, hits = integrate.append(now, new.join(said.select("version_id"), "version_id", "left_anti"), pair, F.col("target_id"), lambda a, b: F.upper(F.trim(a)) == F.upper(F.trim(b)), integrate.relation_findings, ["target_id"])
+        refused, found = [*refused, said], [*found, hits]
+    hits = reduce(DataFrame.unionByName, found) if found else integrate.relation_findings(rows.limit(0), now)
+    return rest.unionByName(now), hits, reduce(DataFrame.unionByName, refused)
+
+
 def rejected_relations(current: DataFrame, added: DataFrame) -> DataFrame:
     """added relations (source_id, target_id, relationship_type) that the pair's current ACTIVE type already says."""
     now = current.select("source_id", "target_id", F.upper("relationship_type").alias("_t"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loreline.functions import scalars as S
 from loreline.functions import vocabulary as V
 from loreline.operators import ledger, resolve, rules
-from loreline.sources.shared import settled
+from loreline.sources.shared import plain_unions, settled
 
 
 @dataclass(frozen=True)
@@ -93,17 +93,21 @@ def relation_findings(new: DataFrame, stored: DataFrame) -> DataFrame:
     return _found(pair, [("RELATIONSHIP_INCOMPATIBLE", 0.85, clash, F.col("last"))]).unionByName(_found(incoming, [("RELATIONSHIP_SINGLE_SOURCE", 0.6, F.lit(True), F.col("last"))]))
 
 
-def append(stored: DataFrame, fresh: DataFrame, key: list[str], group: Column, same: Callable[[str, str], Column], findings: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def append(stored: DataFrame, fresh: DataFrame, key: list[str], group: Column, same: Callable[[str, str], Column], findings: Callable[[DataFrame, DataFrame], DataFrame], reach: list[str]) -> tuple[DataFrame, DataFrame]:
     """stored with the versions of fresh written one after the other, and what the rules found.
 
     A version against which something is found is CONTRADICTED and leaves the others alone; a clean one is ACTIVE and
     supersedes the newest ACTIVE version of its key if that differs (same: names of the two value columns). Only versions
     of one group can matter to each other: the k-th of every group are written at once, in as many rounds as the
-    largest group of this chapter has versions; stored versions of other keys are not looked at.
+    largest group of this chapter has versions. Stored versions that agree with no fresh one in reach (columns) are set apart once
+    and neither judged nor written again.
     """
+    plain_unions(stored.sparkSession)
     fresh = fresh.join(stored.select("version_id"), "version_id", "left_anti")
     fresh = settled(fresh.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy("created_at", "version_id"))))
     names, found = stored.columns, None
+    near = fresh.select(*reach).distinct()
+    rest, stored = stored.join(near, reach, "left_anti").select(names), settled(stored.join(near, reach, "left_semi").select(names))
     for turn in range(1, (fresh.agg(F.max("turn")).first()[0] or 0) + 1):
         new = fresh.where(F.col("turn") == turn).drop("turn")
         hits = settled(findings(new, stored))
@@ -115,7 +119,7 @@ def append(stored: DataFrame, fresh: DataFrame, key: list[str], group: Column, s
         stored = stored.join(gone, "version_id", "left").withColumn("status", F.when(F.col("gone"), "SUPERSEDED").otherwise(F.col("status"))).select(names)
         stored = settled(stored.unionByName(new.select(names)))
         found = hits if found is None else found.unionByName(hits)
-    return stored, found if found is not None else findings(fresh.drop("turn").limit(0), stored)
+    return rest.unionByName(stored), found if found is not None else findings(fresh.drop("turn").limit(0), stored)
 
 
 def _value(names: list[str]) -> str:
@@ -153,7 +157,7 @@ def integrate_chapter(state: State, chapter: int, entities: DataFrame, relations
     at = lambda place: F.lit(float(int(max(write)) + 1)) + place / 1e6
     facts = now.join(entities.select(F.col("place").alias("mention_id"), F.explode("attributes").alias("property_name", "value")), "mention_id").where(~S.is_blank(F.col("value")))
     facts = facts.select(ident(F.lit(world), F.lit(chapter), F.col("mention_id"), F.col("property_name")).alias("version_id"), "entity_id", "property_name", "value", F.lit(chapter).alias("chapter_number"), at(F.col("mention_id")).alias("created_at"))
-    all_facts, on_facts = append(state.facts, facts, ["entity_id", "property_name"], F.concat_ws("\u0001", "entity_id", "property_name"), lambda a, b: S.values_equal(F.col(a), F.col(b)), fact_findings)
+    all_facts, on_facts = append(state.facts, facts, ["entity_id", "property_name"], F.concat_ws("\u0001", "entity_id", "property_name"), lambda a, b: S.values_equal(F.col(a), F.col(b)), fact_findings, ["entity_id", "property_name"])
 
     by_name = now.select(F.explode("names").alias("n"), "entity_id", "mention_id").unionByName(all_entities.select(F.col("canonical_name").alias("n"), F.col("id").alias("entity_id"), F.lit(1 << 30).alias("mention_id")))
     by_name = by_name.unionByName(all_aliases.select(F.col("alias").alias("n"), "entity_id", F.lit((1 << 30) + 1).alias("mention_id")))
@@ -166,7 +170,7 @@ def integrate_chapter(state: State, chapter: int, entities: DataFrame, relations
     hubs = rels.where(F.col("relationship_type").isin(*V.SINGLE_SOURCE_PREDICATES)).select("target_id").distinct().withColumn("hub", F.lit(True))
     rels = rels.join(hubs, "target_id", "left")
     group = F.when(F.col("hub"), F.col("target_id")).otherwise(F.concat_ws("\u0001", "source_id", "target_id"))
-    all_relations, on_relations = append(state.relations, rels, ["source_id", "target_id"], group, lambda a, b: F.upper(F.trim(a)) == F.upper(F.trim(b)), relation_findings)
+    all_relations, on_relations = append(state.relations, rels, ["source_id", "target_id"], group, lambda a, b: F.upper(F.trim(a)) == F.upper(F.trim(b)), relation_findings, ["target_id"])
 
     event_of = ident(F.lit(world), F.lit(chapter), S.fold_spaces(F.col("description")))
     told = settled(events.where(~S.is_blank(F.col("description"))).withColumn("event_id", event_of))
