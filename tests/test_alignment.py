@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+
+from loreline import plans
 from loreline.operators import spans
+from loreline.sources.worlds import World
 
 
 def greedy(pred, gold):
@@ -33,3 +37,13 @@ def test_documents_pass_by_in_batches(spark):
         assert sorted(tuple(r) for r in found.collect()) == sorted(greedy(pred, gold))
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name", ["mentions_by_source", "entity_scores", "document_scores"])
+def test_lines_are_grouped_once(name, spark, sf, monkeypatch):
+    """Every table of the documents is made of the lines; what is left lazy would read and group them again."""
+    read = World.raw
+    asked = []
+    monkeypatch.setattr(World, "raw", lambda w, table: asked.append(table) or read(w, table))
+    plan = plans.queries()[name](spark, sf)._jdf.queryExecution().toString()
+    assert asked == ["lineitem"] and "l_orderkey" not in plan
