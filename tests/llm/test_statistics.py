@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -235,3 +236,41 @@ def test_lanczos_restarts_and_breaks_down():
         k = min(4, dims)
         assert np.allclose(found, np.sort(values)[::-1][:k], rtol=1e-10, atol=1e-10) and residuals.max() < 1e-9
         assert np.allclose(vectors_.T @ vectors_, np.eye(k), atol=1e-10)
+
+
+def test_a_shard_is_laid_out_in_little_memory():
+    """A worker's arrays stay a small multiple of the shard, also where every word and pair may be frequent."""
+    rng = np.random.default_rng(7)
+    data = np.frombuffer(b" ".join(b"w%d" % w for w in rng.zipf(1.3, 300_000) % 20_000), dtype=np.uint8)
+    tracemalloc.start()
+    try:
+        shard = phrase_bitmaps.Shard("en", data)
+        for _ in phrase_bitmaps.mine(shard, np.ones(len(shard.vocab), dtype=bool), lambda a, b: np.ones(len(b), dtype=bool), 4):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 60 * len(data)
+    finally:
+        tracemalloc.stop()
+
+
+def test_rare_runs_are_not_spelt_out(spark, monkeypatch):
+    """All pairs are frequent here and most runs of three are rare: these are ruled out by their hash."""
+    rng = random.Random(3)
+    rows = [("en", " ".join(rng.choices("abcdefgh", k=40)) + ".") for _ in range(200)]
+    made = spark.sparkContext.accumulator(0)
+    batches = phrase_bitmaps._batches
+
+    def counted(lang, columns, names, rows=1 << 16):
+        if "phrase" in names:
+            made.add(len(columns[0]))
+        return batches(lang, columns, names, rows)
+
+    monkeypatch.setattr(phrase_bitmaps, "_batches", counted)
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    words = phrase_bitmaps.word_counts(docs)
+    found = phrase_bitmaps.phrase_counts(docs, phrase_bitmaps.filter_of(words.where("word IS NOT NULL").select("h")), 4, 20).collect()
+    exact = Counter()
+    for _, text in rows:
+        w = text[:-1].split(" ")
+        exact.update(tuple(w[i : i + k]) for k in (2, 3, 4) for i in range(len(w) - k + 1))
+    assert {tuple(r.phrase.split(" ")): r.a for r in found} == {p: a for p, a in exact.items() if a >= 20}
+    assert made.value < sum(a >= 20 for a in exact.values()) * 1.5 + sum(len(p) == 4 for p in exact) // 2
