@@ -79,13 +79,17 @@ def novel_chapters(novels: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def broken_spans(found: DataFrame, chapters: DataFrame, key: str, text: str) -> DataFrame:
-    """Sentences whose text is not what their offsets cut, or that start before the last one ends: none, if all is well."""
-    from pyspark.sql import Window as W
+    """Sentences whose text is not what their offsets cut, or that start before the last one ends: none, if all is well.
+    A chapter meets its sentences once, as a list; a row a sentence would carry the chapter's text as often as it has sentences."""
+    rest = [c for c in found.columns if c not in (key, "sentence")]
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sentence", *rest))).alias("_s"))
 
-    w = W.partitionBy(key).orderBy("sentence")
-    rows = found.join(chapters.select(key, F.col(text).alias("_all")), key).withColumn("_last", F.lag("end").over(w))
-    cut = F.substring("_all", F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.where((cut != F.col("text")) | (F.col("_last") > F.col("start"))).drop("_all", "_last")
+    def broken(x: Column, i: Column) -> Column:
+        cut = F.substring("_all", x["start"] + 1, x["end"] - x["start"])
+        return (cut != x["text"]) | (F.get("_s", i - 1)["end"] > x["start"])
+
+    rows = lists.join(chapters.select(key, F.col(text).alias("_all")), key).select(key, F.explode(F.filter("_s", broken)).alias("_x"))
+    return rows.select(*[F.col(key) if c == key else F.col(f"_x.{c}").alias(c) for c in found.columns])
 
 
 def locate(chapters: DataFrame, key: str, text: str, values: str, names: str) -> DataFrame:
