@@ -50,20 +50,29 @@ def link(found: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     meets = settled(meets.where((F.col("r.cluster") < F.col("l.cluster")) & (same | (F.col("l.kind") == "proper"))).select("doc_id", F.col("l.cluster").alias("cluster"), F.col("l.place").alias("place"), F.col("r.cluster").alias("earlier"), F.col("r.place").alias("its")))
 
     left = settled(found.select("doc_id", "cluster").distinct().join(types, ["doc_id", "cluster"], "left"))
-    brought = kept = None
+    # each round writes what it decides and goes on with what is open; the rounds before are not written again
+    rounds: list[tuple[DataFrame, DataFrame]] = []
+    blocked = None
     while not left.isEmpty():
         waits = meets.join(left.select("doc_id", F.col("cluster").alias("earlier")), ["doc_id", "earlier"], "left_semi").select("doc_id", "cluster").distinct()
         ready = left.join(waits, ["doc_id", "cluster"], "left_anti")
         own = offered.join(ready.select("doc_id", "cluster"), ["doc_id", "cluster"], "left_semi")
-        if brought is not None:
-            taken = meets.join(brought.select("doc_id", F.col("cluster").alias("earlier"), F.col("place").alias("its")), ["doc_id", "earlier", "its"], "left_semi")
-            own = own.join(taken.select("doc_id", "cluster", "place").distinct(), ["doc_id", "cluster", "place"], "left_anti")
+        if blocked is not None:
+            own = own.join(blocked, ["doc_id", "cluster", "place"], "left_anti")
         sums = own.groupBy("doc_id", "cluster").agg(F.count("*").alias("new"), F.max(F.lower("text").isin(*PERSONAL)).alias("person"))
         typed = ready.join(sums, ["doc_id", "cluster"], "left").fillna(0, ["members", "new"]).withColumn("type", F.coalesce("type", F.when(F.col("person"), "character")))
-        good = typed.where("type IS NOT NULL AND members + new >= 2").select("doc_id", "cluster", "type")
-        fresh = own.join(good, ["doc_id", "cluster"])
-        brought, kept = settled(fresh if brought is None else brought.unionByName(fresh)), settled(good if kept is None else kept.unionByName(good))
+        good = settled(typed.where("type IS NOT NULL AND members + new >= 2").select("doc_id", "cluster", "type"))
+        fresh = settled(own.join(good, ["doc_id", "cluster"]))
+        rounds.append((fresh, good))
         left = settled(left.join(waits, ["doc_id", "cluster"], "left_semi"))
+        open_ = left.select("doc_id", "cluster")
+        taken = meets.join(fresh.select("doc_id", F.col("cluster").alias("earlier"), F.col("place").alias("its")), ["doc_id", "earlier", "its"], "left_semi").select("doc_id", "cluster", "place")
+        taken = taken if blocked is None else taken.unionByName(blocked)
+        blocked = settled(taken.distinct().join(open_, ["doc_id", "cluster"], "left_semi"))
+        meets, offered = settled(meets.join(open_, ["doc_id", "cluster"], "left_semi")), settled(offered.join(open_, ["doc_id", "cluster"], "left_semi"))
+    kept = None
+    for fresh, good in rounds:
+        brought, kept = (fresh, good) if kept is None else (brought.unionByName(fresh), kept.unionByName(good))
     if kept is None:
         kind = dict(found.dtypes)
         return found.sparkSession.createDataFrame([], f"doc_id {kind['doc_id']}, mention_id string, start {kind['start']}, end {kind['end']}, type string, kind string, text string"), found.sparkSession.createDataFrame([], f"doc_id {kind['doc_id']}, cluster_id string, mention_id string, place int")
