@@ -82,10 +82,13 @@ def appearances(events: DataFrame, facts: DataFrame, relations: DataFrame, menti
 
 
 def co_stars(participants: DataFrame) -> DataFrame:
-    """entity_id, other_id and n_events for entities that take part in the same event."""
-    a = participants.select("event_id", "entity_id").distinct()
-    b = a.select("event_id", F.col("entity_id").alias("other_id"))
-    return a.join(b, "event_id").where("entity_id <> other_id").groupBy("entity_id", "other_id").agg(F.count("*").alias("n_events"))
+    """entity_id, other_id and n_events for entities that take part in the same event. An event is one sorted list of its entities, which
+    gives each pair once; the pair is turned round when all events are counted."""
+    casts = participants.where("event_id IS NOT NULL").groupBy("event_id").agg(F.array_sort(F.collect_set("entity_id")).alias("_c"))
+    firsts = casts.select(F.posexplode("_c").alias("_i", "a"), "_c").select("a", F.explode(F.slice("_c", F.col("_i") + 2, F.size("_c"))).alias("b"))
+    pairs = firsts.groupBy("a", "b").agg(F.count("*").alias("n_events"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("entity_id"), F.col("b").alias("other_id")), F.struct(F.col("b").alias("entity_id"), F.col("a").alias("other_id")))).alias("p")
+    return pairs.select(both, "n_events").select("p.*", "n_events")
 
 
 def relations_of(relations: DataFrame, entities: DataFrame) -> DataFrame:

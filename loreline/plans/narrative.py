@@ -221,7 +221,7 @@ QUERIES = {
             SELECT entity_id, chapter_number, arg_min(reason, r) AS reason FROM every WHERE chapter_number IS NOT NULL GROUP BY ALL""", "participant", "event", "fact_version", "relationship_version", "mention"),
     ),
     "co_stars": (
-        lambda w: graph.co_stars(w.participant()),
+        lambda w: graph.co_stars(w.participations()),
         with_views(", p AS (SELECT DISTINCT event_id, entity_id FROM participant) SELECT a.entity_id, b.entity_id AS other_id, count(*) AS n_events FROM p a JOIN p b USING (event_id) WHERE a.entity_id <> b.entity_id GROUP BY ALL", "participant"),
     ),
     "relations_either_end": (

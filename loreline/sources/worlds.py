@@ -58,8 +58,12 @@ class World:
         )
 
     def participant(self) -> DataFrame:
+        return self.participations().distinct()
+
+    def participations(self) -> DataFrame:
+        """Rows of participant, repeats too, for those who reduce them to something smaller anyway."""
         both = F.explode(F.array(F.struct(F.col("l_suppkey").alias("entity_id"), F.lit("Agent").alias("role")), F.struct((F.col("l_partkey") % 100).alias("entity_id"), F.lit("patient").alias("role"))))
-        return self.raw("lineitem").select(F.col("l_orderkey").alias("event_id"), both.alias("p")).select("event_id", "p.entity_id", "p.role").distinct()
+        return self.raw("lineitem").select(F.col("l_orderkey").alias("event_id"), both.alias("p")).select("event_id", "p.entity_id", "p.role")
 
     def mention(self) -> DataFrame:
         return self.raw("events").where("event_type = 'view'").select(F.col("event_id").alias("mention_id"), F.col("user_id").alias("entity_id"), F.dayofmonth("ts").alias("chapter_number"))
