@@ -86,14 +86,16 @@ def with_singletons(mentions: DataFrame, clustered: DataFrame) -> DataFrame:
 
 
 def conjunct_heads(tokens: DataFrame) -> DataFrame:
-    """doc_id, token_id, root: the token that a chain of conjuncts starts from; tokens that are no conjunct are their own."""
-    grouped = tokens.groupBy("doc_id").agg(F.collect_list(F.struct("token_id", "head", "rel")).alias("t"))
+    """doc_id, token_id, root: the token that a chain of conjuncts starts from; tokens that are no conjunct are their own. Only
+    conjuncts go to Python."""
+    chained = tokens.where("rel = 'conj'")
+    grouped = chained.groupBy("doc_id").agg(F.collect_list(F.struct("token_id", "head")).alias("t"))
 
     def run(frames):
         for f in frames:
             rows = []
             for d, toks in f.itertuples(index=False):
-                up = {t["token_id"]: t["head"] for t in toks if t["rel"] == "conj"}
+                up = {t["token_id"]: t["head"] for t in toks}
                 for t in toks:
                     x, seen = t["token_id"], set()
                     while x in up and x not in seen:
@@ -102,7 +104,9 @@ def conjunct_heads(tokens: DataFrame) -> DataFrame:
                     rows.append((d, t["token_id"], x))
             yield pd.DataFrame(rows, columns=["doc_id", "token_id", "root"])
 
-    return grouped.mapInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, token_id int, root int")
+    roots = grouped.mapInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, token_id int, root int")
+    own = tokens.where("rel IS NULL OR rel <> 'conj'").select("doc_id", F.col("token_id").cast("int").alias("token_id"), F.col("token_id").cast("int").alias("root"))
+    return own.unionByName(roots)
 
 
 def find_events(tokens: DataFrame) -> DataFrame:
