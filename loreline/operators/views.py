@@ -46,8 +46,8 @@ def neighbours(edges: DataFrame, focus: DataFrame) -> DataFrame:
 
 
 def with_chapters(manuscripts: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
-    """Manuscripts that have a chapter."""
-    return manuscripts.join(chapters.select(key), key, "left_semi")
+    """Manuscripts that have a chapter. Chapters are reduced to their keys before they are dealt, so a popular one is no task of its own."""
+    return manuscripts.join(chapters.select(key).distinct(), key, "left_semi")
 
 
 def chapters_of_world(chapters: DataFrame, manuscripts: DataFrame, world: int) -> DataFrame:
