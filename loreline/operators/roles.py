@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loreline.operators import spans
+from loreline.sources.shared import settled
 
 # Predicate, whether the possessor is its subject, and the nouns that say so.
 ROLES = (
@@ -48,7 +49,7 @@ def _nouns(tokens: DataFrame) -> DataFrame:
     first = kids.groupBy("doc_id", "over", "kid_rel").agg(F.min_by("at", "token_id").alias("at"))
     child = lambda rel, name, on: first.where(F.col("kid_rel") == rel).select("doc_id", F.col("over").alias(on), F.col("at").alias(name))
     rows = nouns.join(child("poss", "owner", "place"), ["doc_id", "place"]).join(child("appos", "below", "place"), ["doc_id", "place"], "left").join(child("nsubj", "subject", "head"), ["doc_id", "head"], "left")
-    above = tokens.select("doc_id", F.col("token_id").alias("head"), at.alias("above"))
+    above = tokens.select("doc_id", F.col("token_id").alias("head"), F.struct("start", "end").alias("above"))
     rows = rows.join(above, ["doc_id", "head"], "left")
     said_of = (F.col("rel") == "attr") & ~F.lower("subject.word").isin(*IMPERSONAL)
     place = lambda c: F.struct(F.col(f"{c}.start").alias("start"), F.col(f"{c}.end").alias("end"))
@@ -65,7 +66,7 @@ def role_pairs(tokens: DataFrame, mentions: DataFrame, clusters: DataFrame) -> D
     none). The holder is whom the noun is said of, else what stands in apposition, else the smallest mention of the noun without
     its possessor, else a new mention, from a possessor that is a name on. Of mentions of one size the first counts, new ones
     last. A noun whose possessor is no mention says nothing. Read more than once below, so cut it by a table or checkpoint."""
-    nouns = _nouns(tokens)
+    nouns = settled(_nouns(tokens))
     asked = nouns.select("doc_id", "place", F.col("owner.start").alias("but"), F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(c).alias("at")) for n, c in zip(LOOKUPS, ("owner", "subject", "apposed", "noun_at"), strict=True)])).alias("q"))
     asked = asked.where("q.at IS NOT NULL").select("doc_id", "place", "but", "q.what", "q.at.*")
     held = spans.overlapping(asked, mentions.select("doc_id", "mention_id", "start", "end"), ["doc_id"]).where("r.start <= l.start AND l.end <= r.end AND NOT (l.what = 'noun' AND r.start <= l.but AND l.but < r.end)")
@@ -86,7 +87,7 @@ def role_pairs(tokens: DataFrame, mentions: DataFrame, clusters: DataFrame) -> D
             yield pd.DataFrame([(d, *r) for d, nouns in f.itertuples(index=False) for r in _walk(nouns)], columns=["doc_id", "place", "o", "o_new", "h", "h_new"])
 
     decided = islands.mapInPandas(run, f"doc_id {kind}, place int, o string, o_new int, h string, h_new int")
-    decided = decided.join(nouns.select("doc_id", "place", "noun", "predicate", "owner_first", "low", "high"), ["doc_id", "place"])
+    decided = settled(decided.join(nouns.select("doc_id", "place", "noun", "predicate", "owner_first", "low", "high"), ["doc_id", "place"]))
     number = lambda c: F.substring(c, 2, 18).cast("long")
     last = mentions.groupBy("doc_id").agg(F.max(number(F.col("mention_id"))).alias("last"))
     made = decided.where("h_new = place").join(last, "doc_id", "left")
