@@ -16,12 +16,14 @@ def stats(w: World):
 
 
 def character_stats(w: World):
-    """Rows are summed to one for each entity and event first, so that counting is no distinct count over all joined rows."""
-    p = w.participant().groupBy("entity_id", "event_id").agg(F.collect_set(F.lower("role")).alias("roles"))
-    p = p.join(w.event().select("event_id", "chapter_number"), "event_id")
-    by_chapter = p.groupBy("entity_id", "chapter_number").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("roles"))).alias("roles"))
-    roles = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles")))), ",")
-    return by_chapter.groupBy("entity_id").agg(F.sum("n").alias("n_events"), roles.alias("roles"), F.count("chapter_number").alias("n_chapters"))
+    """Events are counted by one pass over the participations, roles and chapters gathered by another: by event in tasks of bounded
+    size, with keys and counts that need no lists, before little is left for each entity."""
+    p, events = w.participations(), w.event()
+    n = p.select("event_id", "entity_id").distinct().join(events.select("event_id"), "event_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("n"))
+    seen = p.join(events.select("event_id", "chapter_number"), "event_id").select("entity_id", "chapter_number", F.lower("role").alias("role")).distinct()
+    roles = F.array_join(F.array_sort(F.collect_set("role")), ",")
+    both = seen.unionByName(n, allowMissingColumns=True).groupBy("entity_id")
+    return both.agg(F.sum("n").alias("n_events"), roles.alias("roles"), F.size(F.collect_set("chapter_number")).cast("long").alias("n_chapters"))
 
 
 def facets(w: World):

@@ -1,4 +1,4 @@
-"""Where lineage ends: checkpoints in the folder that the driver and all executors share."""
+"""Where lineage ends, in the folder that the driver and all executors share, and how tables are dealt out to tasks."""
 
 from __future__ import annotations
 
@@ -15,6 +15,17 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+#: Rows that one task takes of a table that is dealt out by its size.
+ROWS_A_TASK = 1 << 18
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df dealt out by keys into as many partitions as its rows call for (rows: how many, if known), at least as many as shuffles
+    have, so that what a task sorts or gathers does not grow with the table. Joins and groups by more than the keys keep them."""
+    n = df.count() if rows is None else rows
+    return df.repartition(max(-(-n // ROWS_A_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written as a checkpoint under spark.checkpoint.dir. Where none is set, a local folder serves a local master; on a
     cluster that is an error, since each executor would write to its own disk."""

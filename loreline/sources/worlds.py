@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.sources.shared import plain_unions
+from loreline.sources.shared import dealt, plain_unions
 
 
 class World:
@@ -61,9 +61,11 @@ class World:
         return self.participations().distinct()
 
     def participations(self) -> DataFrame:
-        """Rows of participant, repeats too, for those who reduce them to something smaller anyway."""
+        """Rows of participant, repeats too, for those who reduce them to something smaller anyway. Lines are dealt out by
+        event before each becomes two rows: what then goes by event, as distinct rows and joins do, stays where it is."""
+        lines = dealt(self.raw("lineitem").select(F.col("l_orderkey").alias("event_id"), "l_suppkey", "l_partkey"), "event_id")
         both = F.explode(F.array(F.struct(F.col("l_suppkey").alias("entity_id"), F.lit("Agent").alias("role")), F.struct((F.col("l_partkey") % 100).alias("entity_id"), F.lit("patient").alias("role"))))
-        return self.raw("lineitem").select(F.col("l_orderkey").alias("event_id"), both.alias("p")).select("event_id", "p.entity_id", "p.role")
+        return lines.select("event_id", both.alias("p")).select("event_id", "p.entity_id", "p.role")
 
     def mention(self) -> DataFrame:
         return self.raw("events").where("event_type = 'view'").select(F.col("event_id").alias("mention_id"), F.col("user_id").alias("entity_id"), F.dayofmonth("ts").alias("chapter_number"))

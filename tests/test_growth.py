@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loreline import plans
 from loreline.operators import extraction, graph, linking, texts, views
+from loreline.plans import aggregates
+from loreline.sources import shared
+from loreline.sources.worlds import World
 
 
 def plan(df):
@@ -68,3 +71,26 @@ def test_rounds_of_linking_write_what_is_open(spark, monkeypatch):
     _, members = linking.link(table, mentions)
     assert members.select("doc_id").distinct().count() == n
     assert members.where("doc_id = 0").select("cluster_id").distinct().count() == chain // 2 and sum(wrote) < 4 * len(found)
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_participations_are_dealt_out_by_their_number(spark, sf, monkeypatch):
+    """Four times the tasks, and still by event: distinct rows and the joins with events move nothing again."""
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 300)
+    w = World(spark, sf)
+    n = w.raw("lineitem").count()
+    assert most_in_a_task(w.participant()) < 2 * 300 * 2 < 2 * n / 4
+    joined = w.participant().join(w.event().hint("merge"), "event_id")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(event_id") == 2
+
+
+def test_character_stats_of_odd_rows(spark, tmp_path):
+    """Repeated lines and events, events that are missing, no entity, no chapter."""
+    day = "timestamp'2020-03-01' AS o_orderdate, 1L AS o_custkey, '1-URGENT' AS o_orderpriority"
+    spark.sql(f"SELECT *, {day} FROM VALUES (1L, 'F'), (2L, 'P'), (3L, 'O'), (3L, 'O') AS t(o_orderkey, o_orderstatus)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 7L, 107L), (1L, 7L, 107L), (2L, 7L, 8L), (3L, 5L, 7L), (9L, 7L, 9L), (3L, NULL, 5L), (2L, 8L, NULL), (NULL, 7L, 7L) AS t(l_orderkey, l_suppkey, l_partkey)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = aggregates.character_stats(World(spark, str(tmp_path)))
+    assert {tuple(r) for r in out.collect()} == {(7, 3, "agent,patient", 1), (8, 1, "agent,patient", 0), (5, 1, "agent,patient", 1), (None, 2, "agent,patient", 1)}
