@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loreline.operators import evaluate as ev
 from loreline.operators import views
-from loreline.sources.shared import plain_unions
+from loreline.sources.shared import dealt, plain_unions
 
 MENTION = ["doc", "text", "type", "kind", "start", "end"]
 
@@ -21,14 +21,20 @@ def region_ends(gold: DataFrame) -> DataFrame:
     return gold.select("doc", F.coalesce("region_end", F.length("text")).alias("end"))
 
 
-def hybrid_mentions(gold: DataFrame, pred: DataFrame, cuts: DataFrame) -> DataFrame:
+def hybrid_mentions(gold: DataFrame, pred: DataFrame, cuts: DataFrame, rows: int | None = None) -> DataFrame:
     """Gold mentions inside the region and predicted ones that start behind it, numbered M1, M2, ... in text order (of one
-    start the longer first, gold before predicted, then by id and what else they hold): id, the columns of mentions, gold_id and entity (null if predicted)."""
-    cut = cuts.select("doc", F.col("end").alias("cut"))
-    inside = gold.join(cut, "doc").where("end <= cut").select(*MENTION, F.col("id").alias("gold_id"), "entity", F.col("id").alias("was"))
-    behind = pred.join(cut, "doc").where("start >= cut").select(*MENTION, F.lit(None).cast(dict(gold.dtypes)["id"]).alias("gold_id"), F.lit(None).cast(dict(gold.dtypes)["entity"]).alias("entity"), F.col("id").alias("was"))
+    start the longer first, gold before predicted, then by id and what else they hold): id, the columns of mentions, gold_id and entity (null if predicted).
+    rows: how many gold and pred have, if known. Both are dealt out by document once, and meet the cuts and are numbered there."""
+    types = dict(gold.dtypes)
+    annotated = gold.select(*MENTION, F.col("id").alias("gold_id"), "entity", F.col("id").alias("was"), F.lit(True).alias("gold"))
+    predicted = pred.select(*MENTION, F.lit(None).cast(types["id"]).alias("gold_id"), F.lit(None).cast(types["entity"]).alias("entity"), F.col("id").alias("was"), F.lit(False).alias("gold"))
+    mentions = annotated.unionByName(predicted)
+    rows = mentions.count() if rows is None else rows
+    # the cuts are dealt out likewise, or the join would deal the mentions as the cuts happen to be
+    mentions = dealt(mentions, "doc", rows=rows).join(dealt(cuts.select("doc", F.col("end").alias("cut")), "doc", rows=rows), "doc")
     place = W.partitionBy("doc").orderBy("start", F.desc("end"), F.col("gold_id").isNull(), "was", "entity", "type", "text", "kind")
-    return inside.unionByName(behind).select("*", F.concat(F.lit("M"), F.row_number().over(place)).alias("id")).drop("was")
+    kept = mentions.where("CASE WHEN gold THEN end <= cut ELSE start >= cut END")
+    return kept.select(*MENTION, "gold_id", "entity", F.concat(F.lit("M"), F.row_number().over(place)).alias("id"))
 
 
 def without_added(mentions: DataFrame, members: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreline.operators import hybrids
+from loreline.sources.shared import dealt
 from loreline.sources.worlds import World
 
 
@@ -38,8 +39,9 @@ def oracle(w: World) -> DataFrame:
 def hybrid(w: World) -> DataFrame:
     """Lines as spans of ten; gold up to 35, predictions two behind each of them."""
     span = lambda shift: lines(w).select("doc", (F.col("line") * 2 + shift).alias("id"), F.col("l_linestatus").alias("text"), F.col("l_returnflag").alias("type"), F.lit("proper").alias("kind"), (F.col("line") * 10 + 2 * shift).alias("start"), (F.col("line") * 10 + 2 * shift + 5).alias("end"), F.col("l_partkey").alias("entity"))
-    cuts = lines(w).select("doc").distinct().withColumn("end", F.lit(35))
-    return hybrids.hybrid_mentions(span(0), span(1).drop("entity"), cuts).select("doc", "id", "start", "gold_id", "entity")
+    rows = 2 * w.raw("lineitem").count()
+    cuts = dealt(lines(w).select("doc"), "doc", rows=rows).distinct().withColumn("end", F.lit(35))
+    return hybrids.hybrid_mentions(span(0), span(1).drop("entity"), cuts, rows).select("doc", "id", "start", "gold_id", "entity")
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from itertools import permutations
 from pyspark.sql import functions as F
 
 from loreline import plans
-from loreline.operators import extraction, graph, linking, texts, views
+from loreline.operators import extraction, graph, hybrids, linking, texts, views
 from loreline.plans import aggregates
 from loreline.sources import shared
 from loreline.sources.worlds import World
@@ -94,3 +94,13 @@ def test_character_stats_of_odd_rows(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (1L, 7L, 107L), (1L, 7L, 107L), (2L, 7L, 8L), (3L, 5L, 7L), (9L, 7L, 9L), (3L, NULL, 5L), (2L, 8L, NULL), (NULL, 7L, 7L) AS t(l_orderkey, l_suppkey, l_partkey)").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = aggregates.character_stats(World(spark, str(tmp_path)))
     assert {tuple(r) for r in out.collect()} == {(7, 3, "agent,patient", 1), (8, 1, "agent,patient", 0), (5, 1, "agent,patient", 1), (None, 2, "agent,patient", 1)}
+
+
+def test_mentions_of_hybrids_are_dealt_out_once(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    rows = spark.range(2000).selectExpr("id DIV 8 AS doc", "id % 8 AS id", "'t' AS text", "'x' AS type", "'proper' AS kind", "id % 8 * 10 AS start", "id % 8 * 10 + 5 AS end", "id % 3 AS entity")
+    cuts = rows.select("doc").distinct().selectExpr("doc", "IF(doc % 5 > 0, 35, NULL) AS end")
+    out = hybrids.hybrid_mentions(rows, rows.drop("entity"), cuts.hint("merge"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert most_in_a_task(out) < 250
+    assert out.count() == 200 * 8 and Counter((r.start, r.gold_id, r.id) for r in out.collect())[0, 0, "M1"] == 200
