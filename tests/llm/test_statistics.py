@@ -274,3 +274,35 @@ def test_rare_runs_are_not_spelt_out(spark, monkeypatch):
         exact.update(tuple(w[i : i + k]) for k in (2, 3, 4) for i in range(len(w) - k + 1))
     assert {tuple(r.phrase.split(" ")): r.a for r in found} == {p: a for p, a in exact.items() if a >= 20}
     assert made.value < sum(a >= 20 for a in exact.values()) * 1.5 + sum(len(p) == 4 for p in exact) // 2
+
+
+def test_phrases_are_spelt_out_once(spark, monkeypatch):
+    """Shards hand on hashes and counts; the words of a phrase come from the vocabulary, once for all shards that hold it."""
+    docs = spark.createDataFrame([("en", "the cat sat on the mat. " * 5)] * 40, "lang string, text string").repartition(4)
+    schemas = []
+    over = phrase_bitmaps._over_shards
+    monkeypatch.setattr(phrase_bitmaps, "_over_shards", lambda docs, fn, schema, *rest: schemas.append(schema) or over(docs, fn, schema, *rest))
+    words, apart = phrase_bitmaps.vocabulary(docs, 30)
+    known = phrase_bitmaps.filter_of(words.where("word IS NOT NULL").select("h"))
+    found = phrase_bitmaps.phrase_counts(docs, known, 4, 30, known=(words, apart))
+    assert {(r.lang, r.phrase, r.k, r.a) for r in found.collect()} == {("en", p, len(p.split()), 200) for p in ("the cat", "cat sat", "sat on", "on the", "the mat", "the cat sat", "cat sat on", "sat on the", "on the mat", "the cat sat on", "cat sat on the", "sat on the mat")}
+    assert apart == [] and len(schemas) == 4 and not any("string" in s for s in schemas[1:])
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    """Two words on which every polynomial hash modulo 2 ** 64 agrees get others, so their phrases are counted apart."""
+    u = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    v = u.translate(str.maketrans("ab", "ba"))
+    both = phrase_bitmaps.Shard("en", np.frombuffer(f"{u} {v}".encode(), dtype=np.uint8))
+    assert both.hash[0] == both.hash[1]
+    rows = [("en", f"{w} and so on") for w in (u, v, v) for _ in range(4)] + [("de", f"und {u}")] * 5
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    _, apart = phrase_bitmaps.vocabulary(docs, 5)
+    assert [len(x) for x in apart] == [1]
+    for least in (5, 12):
+        assert sorted(map(tuple, phrase_bitmaps.collocations(docs, least=least, top=12).collect())) == brute_phrases(rows, 4, least, 12)
+
+
+def test_words_that_are_languages_have_hashes_of_their_own():
+    h = [phrase_bitmaps.Shard(lang, np.frombuffer(word.encode(), dtype=np.uint8)).hash[0] for lang in ("de", "en", "es") for word in ("de", "en", "es")]
+    assert len(set(h)) == 9
