@@ -252,6 +252,19 @@ def test_a_shard_is_laid_out_in_little_memory():
         tracemalloc.stop()
 
 
+def test_prefixes_meet_only_words_that_follow(monkeypatch):
+    """Not all words of a block of positions: what a step holds at once is as long as the text, not a block's words times that."""
+    monkeypatch.setattr(phrase_bitmaps, "TOGETHER", 1 << 30)
+    n = 200_000
+    shard = phrase_bitmaps.Shard("en", np.frombuffer(b" ".join(b"w%d" % w for w in np.random.default_rng(5).integers(0, 5_000, n)), dtype=np.uint8))
+    tracemalloc.start()
+    try:
+        assert sum(int(c.sum()) for _, c in phrase_bitmaps.mine(shard, np.ones(len(shard.vocab), dtype=bool), lambda a, b: np.ones(len(b), dtype=bool), 2)) == n - 1
+        assert tracemalloc.get_traced_memory()[1] < 150 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_rare_runs_are_not_spelt_out(spark, monkeypatch):
     """All pairs are frequent here and most runs of three are rare: these are ruled out by their hash."""
     rng = random.Random(3)
