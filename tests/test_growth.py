@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreline import plans
 from loreline.operators import extraction, graph, hybrids, linking, texts, views
-from loreline.plans import aggregates
+from loreline.plans import aggregates, entities
 from loreline.sources import shared
 from loreline.sources.worlds import World
 
@@ -58,6 +58,19 @@ def test_relations_of_roles_are_found_once(spark, sf):
     assert plan(plans.queries()["role_relations"](spark, sf)).count("] parquet") <= 1
 
 
+def test_parses_of_roles_are_dealt_out_once(spark, sf, monkeypatch):
+    """By document, and what the walk decides once more; no table of tokens or relations is a checkpoint of plain rows."""
+    plans_, keep = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(entities, "stored", lambda df: plans_.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entities.role_relations(World(spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert plans_[0].count("ENSURE_REQUIREMENTS") == 1 and "ExistingRDD" not in plans_[0]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_rounds_of_linking_write_what_is_open(spark, monkeypatch):
     """Clusters of one document wait for each other; those of the others are decided at once and not written in later rounds."""
     n, chain = 200, 8
