@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreline import plans
 from loreline.operators import extraction, graph, hybrids, linking, texts, views
-from loreline.plans import aggregates, entities, tables
+from loreline.plans import aggregates, entities, scores, tables
 from loreline.sources import shared
 from loreline.sources.worlds import World
 
@@ -130,3 +130,12 @@ def test_mentions_of_hybrids_are_dealt_out_once(spark, monkeypatch):
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
     assert most_in_a_task(out) < 250
     assert out.count() == 200 * 8 and Counter((r.start, r.gold_id, r.id) for r in out.collect())[0, 0, "M1"] == 200
+
+
+def test_lines_are_dealt_out_by_document_once(spark, sf):
+    """Tables of a document are joined where its lines lie."""
+    x = scores.lines(World(spark, sf))
+    with shared.kept_apart(spark):
+        both = x.join(x.hint("merge").select("doc", "slot", F.col("p").alias("other")), ["doc", "slot"])
+        how = both._jdf.queryExecution().executedPlan().toString()
+    assert how.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in how
